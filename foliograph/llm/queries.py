@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliograph.llm.leaks import leaks
 from foliograph.llm.runs import glyph_runs
+from foliograph.llm.sentences import sentence_units
 from foliograph.session import table
 
 
@@ -21,7 +22,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p6_found": p6_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every document."""
+    return sentence_units(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
 
 SQL = {
     "p5_found": """
