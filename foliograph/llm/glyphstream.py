@@ -89,3 +89,37 @@ def near(x0: np.ndarray, top: np.ndarray, size: np.ndarray, share: float) -> np.
     far = share * size[1:] + 1e-9
     with np.errstate(invalid="ignore"):
         return (np.abs(np.diff(x0)) <= far) & (np.abs(np.diff(top)) <= far)
+
+
+class Lines:
+    """The drawn lines of a sorted table of glyphs (whole chunks): for line k the rows ``start[k] : end[k]``.
+
+    A line ends where the pen jumps: across both axes, back along the line, or far ahead. ``again`` marks rows that draw the
+    character before them a second time at the same place; ``home`` rows that are no context. Exact repeats are dropped.
+    """
+
+    def __init__(self, t: pa.Table, chunk: int, again_share: float = 0.15):
+        seq = t.column("seq").to_numpy()
+        group = changes(t, ["doc_id", "page", "chunk"])
+        keep = group.copy()
+        keep[1:] |= seq[1:] != seq[:-1]
+        if not keep.all():
+            t, seq, group = t.filter(pa.array(keep)), seq[keep], group[keep]
+        self.table, self.seq = t, seq
+        x0, top = floats(t, "x0"), floats(t, "top")
+        size = floats(t, "size")
+        self.ch = t.column("ch").to_pylist()
+        s = np.where(np.isnan(size) | (size <= 0), 12.0, size)[1:]
+        dx, dy = np.diff(x0), np.diff(top)
+        ax, ay = np.abs(dx), np.abs(dy)
+        with np.errstate(invalid="ignore"):
+            jump = (np.minimum(ax, ay) > 0.6 * s) | ((ay <= 0.6 * s) & ((dx < -0.55 * s) | (dx > 2.5 * s))) | ((ax <= 0.6 * s) & (ay > 1.2 * s)) | np.isnan(ax) | np.isnan(ay)
+        new = group.copy()
+        new[1:] |= jump
+        self.start = np.flatnonzero(new)
+        self.end = np.append(self.start[1:], len(seq))
+        self.again = np.zeros(len(seq), bool)
+        if len(seq):
+            c = codes(t.column("ch"))
+            self.again[1:] = ~new[1:] & (c[1:] == c[:-1]) & near(x0, top, size, again_share)
+        self.home = np.floor_divide(seq, chunk) == t.column("chunk").to_numpy()

@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliograph.llm.disguise import visual_cases
+from foliograph.llm.encoding import garbled
 from foliograph.llm.leaks import leaks
 from foliograph.llm.runs import glyph_runs
 from foliograph.llm.sentences import sentence_units
 from foliograph.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every claim that shows a known term in other characters, and every glyph that isn't the character it shows."""
+    return visual_cases(*[table(spark, sf_dir, t) for t in ("claims", "known_terms", "glyphs")]).distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every glyph and font name that came out of a wrong decoding."""
+    return garbled(*[table(spark, sf_dir, t) for t in ("glyphs", "fonts", "font_audits")]).select("source_field", "doc_id", "item").distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run of a glyph drawn again at nearly the same place."""
     return glyph_runs(table(spark, sf_dir, "glyphs"))
@@ -27,7 +39,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
 
 SQL = {
     "p5_found": """
