@@ -120,7 +120,7 @@ def words_of(texts: Iterable[str]) -> frozenset[str]:
 
 
 #: Texts of these characters only are in their ordinary form already.
-PLAIN_TEXT = r"^[ -~¡-¬®-ÏÑ-ɏḀ-ỿ‐-‧‰-⁞₠-₿]*$"
+PLAIN_TEXT = r"^[ -~¡-¬®-ÏÑ-ƈƊ-ɏḀ-ỿ‐-‧‰-⁞₠-₿]*$"
 
 
 def term_cases(texts: DataFrame, terms: DataFrame, term_chars: int = 50_000_000) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliograph.llm.disguise import visual_cases
 from foliograph.llm.encoding import garbled
 from foliograph.llm.leaks import leaks
+from foliograph.llm.mixing import mixture
 from foliograph.llm.runs import glyph_runs
 from foliograph.llm.sentences import sentence_units
 from foliograph.session import table
@@ -34,12 +35,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents chosen for the target shares, with their repeats."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's target and actual share."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every document."""
     return sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found}
 
 SQL = {
     "p5_found": """
