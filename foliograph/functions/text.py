@@ -133,10 +133,10 @@ def font_key(c: Column | str) -> Column:
 
 
 def without_prefixes(c: Column, prefixes: tuple[str, ...]) -> Column:
-    """Each prefix taken off once, in order, with trimming after each."""
-    for p in prefixes:
-        c = F.trim(F.when(F.startswith(c, F.lit(p)), F.substr(c, F.lit(len(p) + 1))).otherwise(c))
-    return c
+    """Each prefix taken off once, in order, with the blanks after it: one pattern of optional prefixes."""
+    if not prefixes:
+        return c
+    return F.regexp_replace(c, "^" + "".join(f"(?:\\Q{p}\\E *)?" for p in prefixes), "")
 
 
 def sourced_text(c: Column | str, prefixes: tuple[str, ...] = ()) -> Column:

@@ -130,27 +130,33 @@ def segments(chars: str = "chars", font_size: str = "font_size") -> Column:
     return F.when(n > 0, _cut_at(c, starts)).otherwise(F.array().cast(f"array<array<{CHAR}>>"))
 
 
-def columns(chars: str | Column = "chars") -> Column:
-    """Glyphs in columns. Blanks count only by their number: three or more, or a gap between the glyphs around them, make a break;
-    blanks within a column stay. The gap is measured by the middle one of the known sizes as they come."""
-    c = F.col(chars) if isinstance(chars, str) else chars
-    sizes = F.filter(F.transform(c, lambda x: x["size"]), lambda s: s > 0)
-    gap = F.coalesce(F.try_element_at(sizes, F.floor(F.size(sizes) / 2).cast("int") + 1), F.lit(FALLBACK_SIZE)) * GAP_SHARE
-    inked = F.filter(F.transform(c, lambda x, i: F.struct(i.alias("i"), x["ch"].alias("ch"), x["x0"].alias("x0"), x["x1"].alias("x1"))), lambda x: x["ch"] != " ")
-    n = F.size(inked)
-
-    def opens(k: Column) -> Column:
-        now, before = F.try_element_at(inked, k + 1), F.try_element_at(inked, F.greatest(k, F.lit(1)))
-        return (k == 0) | (now["x0"] - before["x1"] >= gap) | (now["i"] - before["i"] - 1 >= BLANKS_OF_A_BREAK)
-
-    starts = F.filter(F.sequence(F.lit(0), n - 1), opens)
+def with_columns(df: DataFrame, chars: Column | str = "chars", name: str = "columns") -> DataFrame:
+    """Adds the glyphs in columns. Blanks count only by their number: three or more, or a gap between the glyphs around them, make a break;
+    blanks within a column stay. The gap is measured by the middle one of the known sizes as they come.
+
+    It works in steps, each a column of its own, so that no step's expression is copied into the next.
+    """
+    c, inked, starts = F.col("_chars"), F.col("_inked"), F.col("_starts")
+    sizes = F.col("_sizes")
+    df = df.withColumn("_chars", F.col(chars) if isinstance(chars, str) else chars)
+    df = df.withColumn("_sizes", F.filter(F.transform(c, lambda x: x["size"]), lambda s: s > 0))
+    df = df.withColumn("_gap", F.coalesce(F.try_element_at(sizes, F.floor(F.size(sizes) / 2).cast("int") + 1), F.lit(FALLBACK_SIZE)) * GAP_SHARE)
+    df = df.withColumn("_inked", F.filter(F.transform(c, lambda x, i: F.struct(i.alias("i"), x["ch"].alias("ch"), x["x0"].alias("x0"), x["x1"].alias("x1"))), lambda x: x["ch"] != " "))
+
+    def opens(now: Column, k: Column) -> Column:
+        before = F.try_element_at(inked, F.greatest(k, F.lit(1)))
+        return (k == 0) | (now["x0"] - before["x1"] >= F.col("_gap")) | (now["i"] - before["i"] - 1 >= BLANKS_OF_A_BREAK)
+
+    marked = F.transform(inked, lambda x, k: F.when(opens(x, k), k))
+    df = df.withColumn("_starts", F.filter(marked, lambda k: k.isNotNull()))
 
     def piece(s: Column, k: Column) -> Column:
-        last = F.try_element_at(inked, F.coalesce(F.try_element_at(starts, k + 2), n))["i"]
+        last = F.try_element_at(inked, F.coalesce(F.try_element_at(starts, k + 2), F.size(inked)))["i"]
         first = F.try_element_at(inked, s + 1)["i"]
         return F.slice(c, first + 1, last - first + 1)
 
-    return F.when(n > 0, F.transform(starts, piece)).otherwise(F.array().cast(f"array<array<{CHAR}>>"))
+    out = F.when(F.size(inked) > 0, F.transform(starts, piece)).when(c.isNotNull(), F.array().cast(f"array<array<{CHAR}>>"))
+    return df.withColumn(name, out).drop("_chars", "_sizes", "_gap", "_inked", "_starts")
 
 
 def text_of(chars: Column) -> Column:

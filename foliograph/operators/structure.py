@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions.text import BULLETS, HEADING, WS, fragment_text, heading_inline, heading_number, heading_title, is_bare_bullet, looks_like_label, looks_like_docx_label, sourced_text, squeezed, starts_with_bullet
-from foliograph.operators.lines import box_around, box_of, columns, left_of, segments, text_of
+from foliograph.operators import lines as lines_
+from foliograph.operators.lines import box_around, box_of, left_of, segments, text_of
 
 # ---- Fixed values -----------------------------------------------------------------------------------------------------
 FOOTER, DATA_COLUMNS, SIGNATURE_INDENT = "trang", 3, 2.0
@@ -67,18 +68,19 @@ def label_split(chars: Column) -> tuple[Column, Column]:
     return F.when(at > 0, F.slice(chars, 1, (at - 1).cast("int"))), F.when(at > 0, F.slice(chars, (at + 1).cast("int"), F.size(chars)))
 
 
-def built_fields(label: Column, value: Column) -> Column:
-    """The fields of one line: array of (label, value), glyph arrays. Later columns of the value that hold a label of their own are fields; the
-    others stay in the first one's value."""
-    cols = columns(value)
-    colon = lambda c: F.array_position(F.transform(c, lambda x: x["ch"]), ":")
-    rest = F.slice(cols, 2, F.greatest(F.size(cols) - 1, F.lit(0)))
-    own = F.filter(rest, lambda c: colon(c) <= 1)
-    extra = F.filter(rest, lambda c: colon(c) > 1)
-    main = F.when(F.size(cols) > 1, F.concat(F.slice(cols, 1, 1), own)).otherwise(F.array(value))
-    first = F.struct(F.array(label).alias("label"), main.alias("value"))
-    more = F.transform(extra, lambda c: F.struct(F.array(F.slice(c, 1, (colon(c) - 1).cast("int"))).alias("label"), F.array(F.slice(c, (colon(c) + 1).cast("int"), F.size(c))).alias("value")))
-    return F.concat(F.array(first), more)
+def with_fields(df: DataFrame, chars: Column, name: str = "_f") -> DataFrame:
+    """Adds the fields of one line: array of (label, value), each an array of glyph arrays; null without a colon. Later columns of
+    the value that hold a label of their own are fields; the others stay in the first one's value."""
+    label, value = label_split(chars)
+    df = lines_.with_columns(df.withColumn("_label", label).withColumn("_value", value), "_value", "_cols")
+    at = F.transform("_cols", lambda c: F.struct(c.alias("c"), F.array_position(F.transform(c, lambda x: x["ch"]), ":").alias("at")))
+    df = df.withColumn("_rest", F.when(F.size("_cols") > 1, F.slice(at, 2, F.size("_cols") - 1)))
+    own = F.transform(F.filter("_rest", lambda r: r["at"] <= 1), lambda r: r["c"])
+    main = F.when(F.size("_cols") > 1, F.concat(F.slice("_cols", 1, 1), own)).otherwise(F.array("_value"))
+    more = F.transform(F.filter("_rest", lambda r: r["at"] > 1), lambda r: F.struct(F.array(F.slice(r["c"], 1, (r["at"] - 1).cast("int"))).alias("label"), F.array(F.slice(r["c"], (r["at"] + 1).cast("int"), F.size(r["c"]))).alias("value")))
+    first = F.array(F.struct(F.array("_label").alias("label"), main.alias("value")))
+    fields = F.when(F.col("_label").isNotNull(), F.when(F.size("_cols") > 1, F.concat(first, more)).otherwise(first))
+    return df.withColumn(name, fields).drop("_label", "_value", "_cols", "_rest")
 
 
 def _joined(groups: Column) -> Column:
@@ -161,8 +163,7 @@ def entries(lines: DataFrame, roles: DataFrame) -> DataFrame:
     """
     keys = ["doc_id", "section_no", "page", "line_no"]
     rows = roles.join(lines.select(*keys, "text", "chars"), keys)
-    label, value = label_split(F.col("chars"))
-    fields = rows.filter("role = 'field'").withColumn("_f", built_fields(label, value))
+    fields = with_fields(rows.filter("role = 'field'"), F.col("chars"))
     fields = fields.select("doc_id", "section_no", F.col("page").alias("entry_page"), F.col("line_no").alias("entry_line"), F.size("_f").alias("_n"), F.posexplode("_f").alias("k", "_one"))
     fields = fields.select("doc_id", "section_no", "entry_page", "entry_line", "k", "_n", _value(F.col("_one.label"), BULLETS).alias("l"), _value(F.col("_one.value"), (":",)).alias("v")).filter("l IS NOT NULL")
     heads = rows.filter("role IN ('item', 'paragraph')").select("doc_id", "section_no", "entry_page", "entry_line", "role", F.struct(sourced_text("text", BULLETS).alias("value"), box_of(F.col("chars")).alias("bbox")).alias("v"))
@@ -176,8 +177,8 @@ def entries(lines: DataFrame, roles: DataFrame) -> DataFrame:
         # Where nothing came before, the first continuation opens the value, without its bullet.
         empty = first.isNull() & (F.size(tail) > 0)
         texts = F.concat(F.when(first.isNotNull(), F.array(first)).otherwise(F.array().cast("array<string>")), F.transform(tail, lambda x, i: F.when(empty & (i == 0), x["bare"]).otherwise(x["t"])))
-        lines_ = F.concat(F.coalesce(first_lines, F.array().cast("array<string>")), F.transform(tail, lambda x, i: F.when(empty & (i == 0), x["bare"]).otherwise(x["t"])))
-        return F.nullif(F.array_join(texts, " "), F.lit("")), lines_, _union_box(F.concat(F.array(box), F.transform(tail, lambda x: x["b"])))
+        parts = F.concat(F.coalesce(first_lines, F.array().cast("array<string>")), F.transform(tail, lambda x, i: F.when(empty & (i == 0), x["bare"]).otherwise(x["t"])))
+        return F.nullif(F.array_join(texts, " "), F.lit("")), parts, _union_box(F.concat(F.array(box), F.transform(tail, lambda x: x["b"])))
 
     f = fields.join(more, at, "left")
     last = F.col("k") == F.col("_n") - 1
@@ -196,11 +197,10 @@ def entries(lines: DataFrame, roles: DataFrame) -> DataFrame:
 def preface_columns(lines: DataFrame) -> DataFrame:
     """doc_id, page, line_no, k, kind, label, value, bbox of preface lines with several segments: each is a field if its label looks like one, else a paragraph."""
     s = lines.withColumn("_s", segments()).filter(F.size("_s") > 1).select("doc_id", "page", "line_no", F.posexplode("_s").alias("k", "_one"))
-    label, value = label_split(F.col("_one"))
-    is_field = F.coalesce(looks_like_label(text_of(label)), F.lit(False))
-    made = F.when(is_field, built_fields(label, value))
-    fields = s.withColumn("_f", made).filter("_f IS NOT NULL").select("doc_id", "page", "line_no", "k", F.explode("_f").alias("_e")).select("doc_id", "page", "line_no", "k", F.lit("field").alias("kind"), _value(F.col("_e.label"), BULLETS)["value"].alias("label"), _value(F.col("_e.value"), (":",))["value"].alias("value"), box_of(F.flatten(F.col("_e.value"))).alias("bbox")).filter("label IS NOT NULL")
-    rest = s.withColumn("_f", made).filter("_f IS NULL").select("doc_id", "page", "line_no", "k", F.lit("paragraph").alias("kind"), F.lit(None).cast("string").alias("label"), sourced_text(text_of(F.col("_one"))).alias("value"), box_of(F.col("_one")).alias("bbox")).filter("value IS NOT NULL")
+    label, _ = label_split(F.col("_one"))
+    s = s.withColumn("_is", F.coalesce(looks_like_label(text_of(label)), F.lit(False)))
+    fields = with_fields(s.filter("_is"), F.col("_one")).select("doc_id", "page", "line_no", "k", F.explode("_f").alias("_e")).select("doc_id", "page", "line_no", "k", F.lit("field").alias("kind"), _value(F.col("_e.label"), BULLETS)["value"].alias("label"), _value(F.col("_e.value"), (":",))["value"].alias("value"), box_of(F.flatten(F.col("_e.value"))).alias("bbox")).filter("label IS NOT NULL")
+    rest = s.filter("NOT _is").select("doc_id", "page", "line_no", "k", F.lit("paragraph").alias("kind"), F.lit(None).cast("string").alias("label"), sourced_text(text_of(F.col("_one"))).alias("value"), box_of(F.col("_one")).alias("bbox")).filter("value IS NOT NULL")
     return fields.unionByName(rest)
 
 

@@ -234,8 +234,8 @@ def grouped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def line_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = lines.group_lines(table(spark, sf_dir, "glyphs"))  # noqa: E741
-    return l.select("doc_id", "page", "line_no", F.transform(lines.segments(), lines.text_of).alias("segments"), F.transform(lines.columns(), lines.text_of).alias("columns"))
+    l = lines.with_columns(lines.group_lines(table(spark, sf_dir, "glyphs")).withColumn("segments", lines.segments()))  # noqa: E741
+    return l.select("doc_id", "page", "line_no", F.transform("segments", lines.text_of).alias("segments"), F.transform("columns", lines.text_of).alias("columns"))
 
 
 @query()
