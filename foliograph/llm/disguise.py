@@ -124,11 +124,11 @@ PLAIN_TEXT = r"^[ -~¡-¬®-ÏÑ-ƈƊ-ɏḀ-ỿ‐-‧‰-⁞₠-₿]*$"
 
 
 def term_cases(texts: DataFrame, terms: DataFrame, term_chars: int = 50_000_000) -> DataFrame:
-    """source_field, row_id, term_id of texts (source_field, kind, row_id, text) that look like a term (kind, term_id, term) but differ.
+    """source_field, row_id, term_id of texts (source_field, row_id, text) that look like a term (term_id, term) but differ.
 
     The words of the terms go to the tasks; ``term_chars`` bounds them, and a larger list is refused.
     """
-    terms = terms.filter(F.col("term").isNotNull()).select("kind", "term_id", "term").distinct()
+    terms = terms.filter(F.col("term").isNotNull()).select("term_id", "term").distinct()
     if (terms.agg(F.sum(F.length("term"))).first()[0] or 0) > term_chars:
         raise ValueError(f"the terms have more than {term_chars} characters")
     vocabulary = words_of(plain(r.term) for r in terms.select("term").collect())
@@ -136,11 +136,11 @@ def term_cases(texts: DataFrame, terms: DataFrame, term_chars: int = 50_000_000)
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lru_cache(1 << 16)(lambda t: repaired(t, vocabulary))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([known(t) for t in b.column(3).to_pylist()], pa.string())], [*b.schema.names, "term"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([known(t) for t in b.column(2).to_pylist()], pa.string())], [*b.schema.names, "term"])
 
-    odd = texts.filter(F.col("text").isNotNull() & ~F.col("text").rlike(PLAIN_TEXT)).select("source_field", "kind", "row_id", "text")
-    fixed = odd.mapInArrow(repair, "source_field string, kind string, row_id long, text string, term string")
-    return fixed.filter("term <> text").join(terms, ["kind", "term"]).select("source_field", "row_id", "term_id")
+    odd = texts.filter(F.col("text").isNotNull() & ~F.col("text").rlike(PLAIN_TEXT)).select("source_field", "row_id", "text")
+    fixed = odd.mapInArrow(repair, "source_field string, row_id long, text string, term string")
+    return fixed.filter("term <> text").join(terms, "term").select("source_field", "row_id", "term_id")
 
 
 _OUT = "hit boolean, seq long, word string"
@@ -242,6 +242,6 @@ def glyph_cases(glyphs: DataFrame) -> DataFrame:
 
 def visual_cases(claims: DataFrame, terms: DataFrame, glyphs: DataFrame) -> DataFrame:
     """source_field, row_id, term_id: disguised claims with the term they show, and disguised glyphs with term 0."""
-    texts = claims.select(F.col("claim_id").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(f"claims.{k}").alias("source_field"), F.lit(k).alias("kind"), F.col(k).alias("text")) for k in ("label", "value")])).alias("_t")).select("row_id", "_t.*")
+    texts = claims.select(F.col("claim_id").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(f"claims.{k}").alias("source_field"), F.col(k).alias("text")) for k in ("label", "value")])).alias("_t")).select("row_id", "_t.*")
     own = glyph_cases(glyphs).select(F.lit("glyphs.ch").alias("source_field"), F.col("seq").alias("row_id"), F.lit(0).cast("long").alias("term_id"))
     return term_cases(texts, terms).unionByName(own)
