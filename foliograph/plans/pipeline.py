@@ -143,14 +143,17 @@ def pdf_documents(docs: DataFrame, template: templates.Template, engines: DataFr
     gates = _gate(raw.filter("relation = 'error'"), REJECT, F.col("value")).unionByName(_gate(classes, REJECT, F.col("rejection")))
     drawn = cut(g.fold_combining_marks(src.glyphs(raw).join(classes.filter(F.col("pdf_class") == font_gates.TEXT_LAYER).select("doc_id"), "doc_id", "left_semi")))
     audit = font_gates.font_audit(drawn, src.fonts(raw))
+    layers = g.duplicate_flags(drawn)
     flagged = cut(g.overlay_flags(g.deduplicate(drawn)))
     body, overlay = flagged.filter("NOT overlay").drop("overlay"), flagged.filter("overlay").drop("overlay")
     lines = cut(ln.group_lines(body))
-    notes = src.annotations(raw).withColumn("bbox", src.annotation_box())
+    notes = cut(src.annotations(raw).withColumn("bbox", src.annotation_box()))
     extra = ln.decorative_texts(overlay).unionByName(notes.groupBy("doc_id", "page").agg(F.array_join(F.array_sort(F.collect_list("value")), "\n").alias("text")))
     texts = lines.select("doc_id", "page", "line_no", "text").unionByName(extra.select("doc_id", "page", F.lit(1 << 30).alias("line_no"), "text"))
     gates = gates.unionByName(_gate(audit, REVIEW, F.col("error")))
-    reports = {"pdf_class": classes.select("doc_id", "pdf_class"), "font_audit": audit}
+    excluded = flagged.groupBy("doc_id").agg(F.count_if("overlay").alias("overlay_glyphs_excluded"))
+    report = F.struct("total", "removed", "pages_affected", "has_duplicate_layer", "overlay_glyphs_excluded")
+    reports = {"pdf_class": classes.select("doc_id", "pdf_class"), "font_audit": audit, "glyph_layers": g.layer_report(layers).join(excluded, "doc_id").select("doc_id", report.alias("glyph_layers"))}
     if engines is not None:
         stream = lambda df, o, name: df.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ch"))), lambda x: x["ch"]), "").alias("text")).select("doc_id", F.lit(o).alias("ord"), F.lit(name).alias("baseline"), "text")
         kept = stream(flagged, 1, "deduplicated")
@@ -164,18 +167,21 @@ def pdf_documents(docs: DataFrame, template: templates.Template, engines: DataFr
     merged = tables.merge_continued(shapes)
     wide = cells.join(shapes.filter(F.col("n_cols") >= structure.DATA_COLUMNS), ["doc_id", "page", "table_no"]).filter("bbox IS NOT NULL").groupBy("doc_id", "page", "table_no").agg(F.min("bbox.x0").alias("x0"), F.min("bbox.top").alias("top"), F.max("bbox.x1").alias("x1"), F.max("bbox.bottom").alias("bottom"))
     parts = cut(structure.sectioned(structure.without_tables(lines, wide)))
-    sections = structure.sections(parts).withColumn("location", F.lit(None).cast("string"))
+    sections = cut(structure.sections(parts).withColumn("location", F.lit(None).cast("string")))
     single = parts.filter("part = 'preface'").filter(F.size(ln.segments()) == 1)
     blocks = parts.filter("part = 'body'").unionByName(single)
     inline = sections.filter("inline_value IS NOT NULL")
-    found = structure.entries(blocks, structure.line_roles(blocks, inline)).filter("kind <> 'inline'")
+    found = structure.entries(blocks, cut(structure.line_roles(blocks, inline))).filter("kind <> 'inline'")
     entries = found.select("doc_id", "section_no", "kind", F.array(F.lit(1.0), F.col("page").cast("double"), F.col("line_no").cast("double"), F.col("k").cast("double")).alias("at"), "label", "value", "page", "bbox", F.lit(None).cast("string").alias("location"), "source_lines")
     several = structure.preface_columns(parts.filter("part = 'preface'"))
     entries = entries.unionByName(several.select("doc_id", F.lit(0).alias("section_no"), "kind", F.array(F.lit(0.0), F.col("page").cast("double"), F.col("line_no").cast("double"), F.col("k").cast("double")).alias("at"), "label", "value", "page", "bbox", F.lit(None).cast("string").alias("location"), F.lit(None).cast("array<string>").alias("source_lines")))
-    values = structured_values(sections, entries, template)
-    rows = _rows_of(cells.withColumn("location", F.lit(None).cast("string")).join(merged, ["doc_id", "page", "table_no"], "left"))
+    values = structured_values(sections, cut(entries), template)
+    # A continued table is one with the table it goes on: its rows stand there, after that one's.
+    joined = cells.join(merged, ["doc_id", "page", "table_no"]).withColumn("location", F.lit(None).cast("string"))
+    joined = joined.withColumn("row_no", F.col("row_no") + 1_000_000 * (F.col("page") - F.col("merged_page"))).withColumn("table_no", F.col("merged_table")).withColumn("page", F.col("merged_page"))
+    rows = cut(_rows_of(joined))
     values = values.unionByName(table_values(rows, sections, template))
-    people = _people(structure.signature_columns(parts).withColumn("location", F.lit(None).cast("string")), ["page", "line_no"])
+    people = cut(_people(structure.signature_columns(parts).withColumn("location", F.lit(None).cast("string")), ["page", "line_no"]))
     values = values.unionByName(signature_values(people, template))
     feet = _numbered(lines.filter(structure.footers(lines)), ["doc_id"], ["page", "line_no"])
     values = values.unionByName(_values(feet, _at(2e6, F.col("_i")), F.concat(F.lit("page_footers["), F.col("_i").cast("string"), F.lit("]")), sourced_text("text"), page=F.col("page"), bbox=ln.box_of(F.col("chars"))))
@@ -198,15 +204,15 @@ def docx_documents(docs: DataFrame, template: templates.Template, engines: DataF
         reports["cross_verify"] = compared.groupBy("doc_id").agg(F.collect_list(F.struct("engine", "baseline", "chars", "char_multiset_match", "only_in_primary", "only_in_engine")).alias("cross_verify"))
         gates = gates.unionByName(_gate(compared.filter("NOT char_multiset_match"), REVIEW, F.concat(F.lit("reader "), F.col("engine"), F.lit(" has characters that the document lacks"))))
         gates = gates.unionByName(_gate(whole.join(compared.select("doc_id").distinct(), "doc_id", "left_anti"), REVIEW, F.lit("no independent reader")))
-    e = structure.docx_entries(nodes)
+    e = cut(structure.docx_entries(nodes))
     page = F.lit(0)
     sections = e.filter("kind = 'heading'").select("doc_id", "section_no", "number", F.col("label").alias("title"), F.col("value").alias("inline_value"), page.alias("page"), F.lit(None).cast(BOX).alias("bbox"), "location")
     entries = e.filter("kind <> 'heading'").select("doc_id", "section_no", "kind", F.array(F.col("ord").cast("double")).alias("at"), "label", "value", page.alias("page"), F.lit(None).cast(BOX).alias("bbox"), "location", F.lit(None).cast("array<string>").alias("source_lines"))
     values = structured_values(sections, entries, template)
     signed = structure.docx_signature_table(nodes)
     cells = nodes.filter("kind = 'cell'").select("doc_id", page.alias("page"), F.col("tbl").alias("table_no"), F.col("row").alias("row_no"), F.col("cell").alias("col_no"), F.col("text").alias("value"), F.lit(None).cast(BOX).alias("bbox"), "location", F.split("text", "\n").alias("lines"))
-    values = values.unionByName(table_values(_rows_of(cells), sections, template))
-    values = values.unionByName(signature_values(_people(signed.withColumn("page", page), ["line"]), template))
+    values = values.unionByName(table_values(cut(_rows_of(cells)), sections, template))
+    values = values.unionByName(signature_values(cut(_people(signed.withColumn("page", page), ["line"])), template))
     feet = _numbered(nodes.filter("kind = 'footer'"), ["doc_id"], ["ord"])
     values = values.unionByName(_values(feet, _at(2e6, F.col("_i")), F.concat(F.lit("page_footers["), F.col("_i").cast("string"), F.lit("]")), sourced_text("text"), location=F.col("location")))
     return values, texts, gates, reports
@@ -220,19 +226,24 @@ def process(spark: SparkSession, files: DataFrame, template: templates.Template
     docx_values, docx_texts, docx_gates, docx_reports = docx_documents(docs, template, engines if engines is not None else src.plain_docx_texts(docs))
     gates = gates.unionByName(pdf_gates).unionByName(docx_gates)
     texts = cut(pdf_texts.unionByName(docx_texts.select("doc_id", "page", "line_no", "text")))
-    found = templates.detect(ln.canonical_text(texts), (template,)).select("doc_id", "template_id", "score")
+    found = cut(templates.detect(ln.canonical_text(texts), (template,)).select("doc_id", "template_id", "score"))
     gates = gates.unionByName(_gate(found.filter("template_id IS NULL"), REJECT, F.lit("no known template")))
     kept = found.filter("template_id IS NOT NULL").select("doc_id")
     values = cut(pdf_values.unionByName(docx_values).join(kept, "doc_id", "left_semi"))
     text_layer = texts.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
     judged = provenance.verify(values.filter("NOT plain AND value IS NOT NULL"), texts, glyphs)
-    proof = provenance.report(judged)
+    judged = cut(judged)
+    proof = cut(provenance.report(judged))
     gates = gates.unionByName(_gate(proof.filter("verbatim_values < total_values"), REVIEW, F.concat(F.lit("values without proof: "), F.array_join("unverified_paths", ", "))))
     gates = gates.unionByName(docs.select("doc_id", F.lit(OK).alias("severity"), F.lit(None).cast("string").alias("error")))
-    status = provenance.status(gates).join(found, "doc_id", "left")
-    verification = status.join(docs.select("doc_id", F.col("format").alias("input_format")), "doc_id").join(pdf_reports["pdf_class"], "doc_id", "left").join(pdf_reports["font_audit"].drop("error"), "doc_id", "left").join(proof, "doc_id", "left")
+    status = cut(provenance.status(gates)).join(found, "doc_id", "left")
+    verification = status.join(docs.select("doc_id", F.col("format").alias("input_format")), "doc_id").join(pdf_reports["pdf_class"], "doc_id", "left").join(pdf_reports["font_audit"].drop("error"), "doc_id", "left").join(pdf_reports["glyph_layers"], "doc_id", "left").join(proof, "doc_id", "left")
+    crossed = [r["cross_verify"] for r in (pdf_reports, docx_reports) if "cross_verify" in r]
+    for k, c in enumerate(crossed):
+        verification = verification.join(c.withColumnRenamed("cross_verify", f"_c{k}"), "doc_id", "left")
+    crossing = F.coalesce(*[F.col(f"_c{k}") for k in range(len(crossed))]) if crossed else F.lit(None).cast("string")
     audit = F.when(F.col("total_fonts").isNotNull(), F.struct("total_fonts", "fonts_with_tounicode", "missing", "affected_characters", "declared_but_unused", "coverage", "is_complete"))
-    shown = F.struct("input_format", "pdf_class", audit.alias("font_audit"), F.struct(F.coalesce("total_values", F.lit(0)).alias("total_values"), F.coalesce("verbatim_values", F.lit(0)).alias("verbatim_values"), F.coalesce("ratio", F.lit(1.0)).alias("ratio"), F.coalesce("unverified_paths", F.array().cast("array<string>")).alias("unverified_paths")).alias("provenance"))
+    shown = F.struct("input_format", "pdf_class", audit.alias("font_audit"), "glyph_layers", crossing.alias("cross_verify"), F.struct(F.coalesce("total_values", F.lit(0)).alias("total_values"), F.coalesce("verbatim_values", F.lit(0)).alias("verbatim_values"), F.coalesce("ratio", F.lit(1.0)).alias("ratio"), F.coalesce("unverified_paths", F.array().cast("array<string>")).alias("unverified_paths")).alias("provenance"))
     reports = verification.select("doc_id", "status", "severity", "errors", "template_id", "score", shown.alias("verification"))
     columns = [*_VALUE, "verbatim", "proof_level"]
     rest = values.filter("plain OR value IS NULL").withColumn("verbatim", F.lit(None).cast("boolean")).withColumn("proof_level", F.lit(None).cast("int"))

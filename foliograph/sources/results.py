@@ -36,7 +36,7 @@ def key_step(key: Column) -> Column:
 def node(row: dict) -> Any:
     """A value as it appears in the output."""
     if row.get("plain"):
-        return row["value"]
+        return int(row["value"]) if row["path"].endswith(".index") else row["value"]
     out: dict[str, Any] = {"label": row["label"]} if row.get("label") is not None else {}
     out["value"] = row["value"]
     if row["value"] is None:
@@ -69,7 +69,20 @@ def tree(values: list[dict]) -> dict:
             while len(at) <= last:
                 at.append(None)
         at[last] = node(row)
-    return root
+    return _completed(root)
+
+
+def _completed(root: dict) -> dict:
+    """The parts that every result has, empty where the document has none, in their fixed order."""
+    for block in (root.setdefault("preface", {}), *root.setdefault("sections", {}).values()):
+        parts = {"fields": {}, "unmapped_fields": {}, "paragraphs": [], "items": []}
+        own = {k: block.pop(k, empty) for k, empty in parts.items()}
+        head = {k: block.pop(k) for k in ("name", "title") if k in block}
+        tail = dict(block)
+        block.clear()
+        block |= head | own | tail
+    order = {"preface": {}, "sections": {}, "signatures": [], "page_footers": [], "form_fields": {}, "hyperlinks": []}
+    return {k: root.get(k, empty) for k, empty in order.items()} | {k: v for k, v in root.items() if k not in order}
 
 
 @arrow_udf(StringType())
