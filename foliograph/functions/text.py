@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import BooleanType, DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType
 
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 # ---- Fixed values -----------------------------------------------------------------------------------------------------
@@ -47,9 +47,19 @@ def _without_marks(texts: pa.Array) -> pa.Array:
     return pa.array([t if t is None or t.isascii() else strip(t) for t in texts.to_pylist()], pa.string())
 
 
-@arrow_udf(BooleanType())
-def _starts_combining(texts: pa.Array) -> pa.Array:
-    return pa.array([bool(t) and unicodedata.combining(t[0]) != 0 for t in texts.to_pylist()], pa.bool_())
+def _ranges(points: list[int]) -> str:
+    """Code points as a character class for Java's patterns."""
+    out, start = [], None
+    for p, after in zip(points, [*points[1:], -1], strict=True):
+        start = p if start is None else start
+        if after != p + 1:
+            out.append(f"\\x{{{start:x}}}-\\x{{{p:x}}}")
+            start = None
+    return "".join(out)
+
+
+#: Every code point with a combining class above 0, by rule from the Unicode data at hand. Java has no such class of its own.
+COMBINING = _ranges([p for p in range(0x300, 0x1F000) if unicodedata.combining(chr(p))])
 
 
 @arrow_udf(DoubleType())
@@ -72,7 +82,7 @@ def nfd(c: Column | str) -> Column:
 
 def starts_combining(c: Column | str) -> Column:
     """Whether the first code point joins the character before it (combining class above 0)."""
-    return _starts_combining(_col(c))
+    return F.coalesce(_col(c).rlike(f"^[{COMBINING}]"), F.lit(False))
 
 
 def binary_round(c: Column | str, digits: int) -> Column:

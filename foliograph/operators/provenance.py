@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions.text import binary_round, collapsed, searchable
+from foliograph.session import cut
 
 # ---- Fixed values -----------------------------------------------------------------------------------------------------
 BOX_TOLERANCE = 1.5
 # ---- end of fixed values ----------------------------------------------------------------------------------------------
-CELL, PIECE = 64.0, 1 << 16
+CELL, PIECE, GRAM = 64.0, 1 << 16, 6
 
 
 def _cells(low: Column, high: Column) -> Column:
@@ -53,19 +54,32 @@ def pieces(texts: DataFrame, overlap: int, size: int = PIECE) -> DataFrame:
     ahead = F.array_join(F.collect_list(F.substring("spaced", 1, overlap)).over(w.rowsBetween(1, 8)), " ")
     joined = pages.withColumn("spaced", F.concat_ws(" ", "spaced", F.substring(ahead, 1, overlap)))
     step = max(size, 2 * overlap)
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("spaced") - 1), F.lit(step)), lambda i: F.substr(F.col("spaced"), i + 1, F.lit(step + overlap)))
-    out = joined.select("doc_id", F.explode(cut).alias("spaced"))
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("spaced") - 1), F.lit(step)), lambda i: F.substr(F.col("spaced"), i + 1, F.lit(step + overlap)))
+    out = joined.select("doc_id", F.explode(cuts).alias("spaced"))
     return out.withColumn("tight", F.replace("spaced", F.lit(" "), F.lit("")))
 
 
+def _met(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """needles with the pieces that may hold them: those that share the first ``GRAM`` characters, blanks left out.
+
+    So a document with most of the values and most of the text is an equi-join on (doc_id, gram), not a product. Only needles
+    shorter than a gram meet every piece of their document.
+    """
+    n = needles.withColumn("_t", F.replace("needle", F.lit(" "), F.lit(""))).withColumn("gram", F.when(F.length("_t") >= GRAM, F.substring("_t", 1, GRAM))).drop("_t")
+    grams = hay.select("doc_id", "piece", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("tight") - (GRAM - 1))), lambda i: F.substr(F.col("tight"), i, F.lit(GRAM))))).alias("gram"))
+    long = n.filter("gram IS NOT NULL").join(grams, ["doc_id", "gram"]).join(hay, ["doc_id", "piece"])
+    short = n.filter("gram IS NULL").join(hay, "doc_id")
+    names = [*needles.columns, "spaced", "tight"]
+    return long.select(*names).unionByName(short.select(*names))
+
+
 def verify(values: DataFrame, texts: DataFrame, glyphs: DataFrame | None = None) -> DataFrame:
     """values with ``proof_level`` (1, 2, 3 or null) and ``verbatim``."""
     named = values.withColumn("_needle", searchable("value")).withColumn("_tight", collapsed("value")).withColumn("_parts", F.coalesce("source_lines", F.array().cast("array<string>")))
     longest = named.agg(F.max(F.length("_needle"))).first()[0] or 1
     parts = named.select("doc_id", F.explode("_parts").alias("_p")).distinct().withColumn("_part", searchable("_p"))
     needles = named.select("doc_id", F.col("_needle").alias("needle"), F.col("_tight").alias("tight_needle")).unionByName(parts.select("doc_id", F.col("_part").alias("needle"), F.lit(None).cast("string").alias("tight_needle"))).filter("needle <> ''").distinct()
-    hay = pieces(texts, longest)
-    hit = needles.join(hay, "doc_id").filter(F.contains("spaced", "needle") | F.coalesce(F.contains("tight", "tight_needle"), F.lit(False)))
+    hit = _met(needles, cut(pieces(texts, longest).withColumn("piece", F.monotonically_increasing_id()))).filter(F.contains("spaced", "needle") | F.coalesce(F.contains("tight", "tight_needle"), F.lit(False)))
     found = hit.select("doc_id", "needle", F.contains("spaced", "needle").alias("_s")).groupBy("doc_id", "needle").agg(F.bool_or("_s").alias("_spaced"))
     level2 = named.join(found.select("doc_id", F.col("needle").alias("_needle"), F.lit(True).alias("_2")), ["doc_id", "_needle"], "left")
     fragments = named.filter(F.size("_parts") > 0).select("doc_id", "path", "_tight", F.explode("_parts").alias("_p"), F.array_join("_parts", " ").alias("_all")).join(parts, ["doc_id", "_p"])
