@@ -33,7 +33,7 @@ class Rule(NamedTuple):
 
 def _rule(decision: bool, before: str = "", after: str = "", flags: int = 0) -> Rule:
     """before ends at the candidate (its gap left out), after starts with what follows the gap; "" matches anything."""
-    return Rule(decision, regex.compile(f"(?:{before})$", flags) if before else None, regex.compile(after, flags) if after else None)
+    return Rule(decision, regex.compile(f"(?:{before})$", flags | regex.REVERSE) if before else None, regex.compile(after, flags) if after else None)
 
 
 def _words(*names: str) -> str:
@@ -123,8 +123,12 @@ TABLES: dict[str, list[Rule]] = {
 CASCADE = [r for t in TABLES.values() for r in t]
 #: Of a candidate whose last word is none of these, has two letters or more and isn't the first of a heading, the language tables say nothing.
 _KNOWN = {x.lower().replace(" ", "").rpartition(".")[2].rpartition("-")[2] for n in (VI_TITLES, EN_TITLES, EN_NUMBERED, EN_MONTHS, EN_OPEN_ENDED, DE_STAY, DE_NUMBERED, FR_STAY, FR_NUMBERED, FR_MONTHS, RU_STAY, RU_NUMBERED) for x in n} | {"x", "v"}
-_PLAIN_WORD = regex.compile(r"(?<![\p{L}\p{M}\d.\-])(?![\p{Devanagari}\p{Thai}\p{Arabic}\p{Cyrillic}])\p{L}[\p{L}\p{M}]+\.$")
+_PLAIN_WORD = regex.compile(r"(?<![\p{L}\p{M}\d.\-])(?![\p{Devanagari}\p{Thai}\p{Arabic}\p{Cyrillic}])\p{L}[\p{L}\p{M}]+\.$", regex.REVERSE)
 _GENERAL = [*TABLES["continued"], *TABLES["general"]]
+_HEAD = [*TABLES["continued"], *TABLES["heading"]]
+_MARKS = [*TABLES["continued"], *TABLES["ellipsis"], *TABLES["exclamation"], *TABLES["general"]]
+_NUMERIC = regex.compile(r"[\d%²³€)]\.$", regex.REVERSE)
+_AFTER_NUMBER = [*TABLES["continued"], TABLES["de"][-1], TABLES["ru"][-1], *TABLES["general"]]
 UNCASED_STAY = [
     *TABLES["heading"],
     _rule(STAY, _words(*VI_TITLES, *EN_TITLES, *DE_STAY, *FR_STAY, *RU_STAY), "", I),
@@ -152,15 +156,19 @@ _CASED = regex.compile(r"[\p{Lu}\p{Ll}]")
 _UNSPACED_MARK = "。！？｡।॥"
 _GLUED = regex.compile(r"(?:\p{Ll}{2,}|[)%²³\"”]|\d)[.!?]$")
 _GLUED_AFTER = regex.compile(r"\p{Lu}\p{L}*[\s\p{Ll}]")
-_URL = regex.compile(r"(?:://|www\.)\S*$")
+_URL = regex.compile(r"(?:://|www\.)\S*$", regex.REVERSE)
 _GOES_ON = regex.compile(r"と|って|という|など|[,;:、，；：\)\]–—\-]|\p{Ll}")
 
 
+_OPENER = regex.compile(r"[“„«「『‚‹\"(\[（]")
+_CLOSERS = "”»」』’)]\""
+
+
 def quotations(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, is quotation) of outermost quotations and brackets. What is not closed in the block is no pair."""
     out, i, n = [], 0, len(text)
-    while i < n:
-        c = text[i]
+    while (m := _OPENER.search(text, i)) is not None:
+        i, c = m.start(), m[0]
         if c in _CLOSE:
             want, depth = _CLOSE[c], 1
             j = i + 1
@@ -201,9 +209,16 @@ def quotations(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def _cascade(before: str, after: str, at_head: bool) -> bool | None:
-    if not at_head and (m := _PLAIN_WORD.search(before)) and m[0][:-1].lower() not in _KNOWN:
+def _cascade(before: str, after: str, at_head: bool, last: str) -> bool | None:
+    """The cascade's decision. Tables whose patterns can't match what stands before the candidate are passed by."""
+    if at_head and (d := _decide(_HEAD, before, after)) is not None:
+        return d
+    if last != ".":
+        return _decide(_MARKS, before, after)
+    if (m := _PLAIN_WORD.search(before)) and m[0][:-1].lower() not in _KNOWN:
         return _decide(_GENERAL, before, after)
+    if _NUMERIC.search(before):
+        return _decide(_AFTER_NUMBER, before, after)
     return _decide(CASCADE, before, after)
 
 
@@ -227,7 +242,7 @@ def _unit(text: str, spans: list[tuple[int, int, bool]]) -> list[int]:
             continue
         while s < len(spans) and spans[s][1] <= a:
             s += 1
-        quote = None
+        quote, end = None, e
         if s < len(spans) and spans[s][0] < a:
             x, z, is_quote = spans[s]
             if not is_quote or not mark or text[e : z - 1].strip():
@@ -254,7 +269,7 @@ def _unit(text: str, spans: list[tuple[int, int, bool]]) -> list[int]:
             before, after = unicodedata.normalize("NFC", before), unicodedata.normalize("NFC", after)
         sentence = text[start:e]
         uncased = not _UPPER.search(sentence) or not _LOWER.search(sentence)
-        last = text[a]
+        last = text[a] if a + 1 == end else "…" if text[a:end].strip(".…") == "" else text[end - 1]
         decision: bool | None
         if quote is not None:
             first = not text[start:quote].strip()
@@ -277,7 +292,7 @@ def _unit(text: str, spans: list[tuple[int, int, bool]]) -> list[int]:
             elif last in "!?" and _LETTER.match(after):
                 decision = _UPPER.match(after) is not None and not _URL.search(text[start:e]) or not _CASED.match(after)
             else:
-                decision = bool(_GLUED.search(before) and _GLUED_AFTER.match(after) and not _URL.search(before) and not regex.search(r"\d[.]$", before)) and _cascade(before, after, at_head)
+                decision = bool(_GLUED.search(before) and _GLUED_AFTER.match(after) and not _URL.search(before) and not regex.search(r"\d[.]$", before)) and _cascade(before, after, at_head, last)
         else:
             decision = None
             if uncased and last == "." and a + 1 == e and _CASED.match(after):
@@ -285,7 +300,7 @@ def _unit(text: str, spans: list[tuple[int, int, bool]]) -> list[int]:
                 if decision is None and after[0].islower() == (not _UPPER.search(sentence)):
                     decision = BREAK if _LETTER.search(sentence) else STAY
             if decision is None:
-                decision = _cascade(before, after, at_head)
+                decision = _cascade(before, after, at_head, last)
         if decision:
             cuts.append(e)
             start = e
