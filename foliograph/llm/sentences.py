@@ -143,7 +143,6 @@ UNCASED_STAY = [
     *TABLES["de"][-1:],
 ]
 
-_LIST = regex.compile(r"[^\S\n]*(?:[•●▪◦‣*·–\-]\s+|\(?(?:\d{1,3}|[a-zđ])[.)]\s+)\S")
 _BULLET = regex.compile(r"[^\S\n]*[•●▪◦‣*·–\-][^\S\n]+\S")
 _NUMBERED = regex.compile(r"[^\S\n]*\(?(?:\d{1,3}[.)]|[a-zđ]\))\s+\S")
 _BLANK = regex.compile(r"(?:\r\n?|[\n  \x0b\x0c\x85])(?:[^\S\r\n]*(?:\r\n?|[\n  \x0b\x0c\x85]))+")

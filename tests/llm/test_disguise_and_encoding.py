@@ -61,6 +61,8 @@ def test_wrong_decodings_come_back():
     for sound in ("Ô ĐẤT SỐ ÂÊÔƯ", "AVALIAÇÃO DE IMÓVEIS: SÃO", "Œuvre: l’îlot n° 12 «Nord»", "Kaufpreis £ 40 ± 2 §5", "Площадь участка", "沙洲宋体", "Þinglýst eign, síða 3 ©", "Сёла"):
         assert damaged_spans(sound) == []
     assert damaged_spans("x� y") == [(1, 2)]
+    twice = wrongly(wrongly("quyển Ø", "cp1252"), "cp1252")
+    assert {i for a, z in damaged_spans(twice) for i in range(a, z)} == {i for i, c in enumerate(twice) if c > "\x7f"}
 
 
 def test_learning_on_held_out_lines(spark):
