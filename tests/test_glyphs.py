@@ -165,3 +165,15 @@ def test_cells_and_merging(spark):
     t = spark.createDataFrame([("d", p, k, n) for p, k, n in [(1, 0, 4), (2, 0, 4), (3, 0, 4), (5, 0, 4), (6, 0, 1), (7, 0, 1)]], "doc_id string, page int, table_no int, n_cols int")
     merged = {(r.page, r.table_no): (r.merged_page, r.merged_table) for r in tables.merge_continued(t).collect()}
     assert merged == {(1, 0): (1, 0), (2, 0): (1, 0), (3, 0): (3, 0), (5, 0): (5, 0), (6, 0): (6, 0), (7, 0): (7, 0)}
+
+
+def test_lookup_by_label(spark):
+    from foliograph.operators import labels
+
+    rows = written("Mở", top=30.0) + written("Địa  chỉ: PHỐ 9", top=50.0) + written("quận 1", top=64.0) + written("- mục", top=78.0) + written("Hạn", top=95.0) + written("06 tháng", x=300.0, top=95.0)
+    l = ln.group_lines(frame(spark, rows))  # noqa: E741
+    assert [r.value for r in labels.value_after(l, "địa chỉ").collect()] == ["PHỐ 9"]
+    assert [r.value for r in labels.value_after(l, "Địa chỉ", multiline=True).collect()] == ["PHỐ 9 quận 1"]
+    assert [r.value for r in labels.value_after(l, "Hạn").collect()] == ["06 tháng"]
+    assert [r.value for r in labels.segment_with(l, "địa chỉ").collect()] == ["Địa chỉ: PHỐ 9"]
+    assert labels.first_line_with(l, "hạn").first().line_no == 4 and labels.value_after(l, "không có").count() == 0
