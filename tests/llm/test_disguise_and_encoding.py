@@ -92,3 +92,27 @@ def test_learning_on_held_out_lines(spark):
     assert {(r.source_field, r.doc_id, r.original) for r in out if r.source_field != "ch"} >= {("fontname", "d5", "Mực Tím"), ("missing", "d1", "Mực Tím"), ("affected_characters", "d1", "Søborg")}
     none = spark.createDataFrame([], GLYPH)
     assert garbled(none, fonts.limit(0), audits.limit(0)).count() == 0
+
+
+TCVN = {"ế": "Õ", "ậ": "Ë", "ố": "è", "ể": "Ó", "đ": "®", "ầ": "Ç", "ấ": "Ê", "ị": "Þ", "ộ": "é", "ả": "¶"}
+
+
+def written(texts, seq=1):
+    rows = []
+    for k, t in enumerate(texts):
+        rows += line(t, 1 + k // 30, 40.0 + 20 * (k % 30), seq)
+        seq += 100
+    return rows
+
+
+def test_old_font_lines_without_a_symbol(spark):
+    """Letters learned from lines with symbols find the lines whose letters are all ordinary ones."""
+    old = lambda t: "".join(TCVN.get(c, c) for c in t)
+    clean = ["Kết luận", "Số quyển", "Phần đất kết luận số quyển"]
+    texts = clean * 4 + [old(clean[2])] * 2 + [old("Kết luận") + " ..... 1000", old("Số quyển"), "Conférence ..... 1000", "Évêché: thèse"]
+    rows = written(texts)
+    none = spark.createDataFrame([], "doc_id string, page int, base_font string, has_tounicode boolean")
+    audits = spark.createDataFrame([], "doc_id string, missing array<string>, affected_characters map<string,int>")
+    got = {(r.item, r.original) for r in garbled(spark.createDataFrame(rows, GLYPH), none, audits).collect()}
+    want = {(str(1 + 100 * k + i), y) for k, y in [(12, clean[2]), (13, clean[2]), (14, "Kết luận ..... 1000"), (15, "Số quyển")] for i, c in enumerate(texts[k]) if c > "\x7f"}
+    assert got == want
