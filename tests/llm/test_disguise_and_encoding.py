@@ -2,7 +2,7 @@ import random
 import unicodedata
 
 from foliograph.llm.disguise import glyph_cases, ordinary, plain, repaired, repairs, term_cases, words_of
-from foliograph.llm.encoding import ENCODINGS, damaged_spans, explained, garbled, regained, wrongly
+from foliograph.llm.encoding import ENCODINGS, damaged_spans, explained, garbled, mistaken, regained, wrongly
 from tests.test_glyphs import GLYPH, glyph
 
 
@@ -116,3 +116,15 @@ def test_old_font_lines_without_a_symbol(spark):
     got = {(r.item, r.original) for r in garbled(spark.createDataFrame(rows, GLYPH), none, audits).collect()}
     want = {(str(1 + 100 * k + i), y) for k, y in [(12, clean[2]), (13, clean[2]), (14, "Kết luận ..... 1000"), (15, "Số quyển")] for i, c in enumerate(texts[k]) if c > "\x7f"}
     assert got == want
+
+
+def test_names_of_several_bytes_a_character(spark):
+    """Bytes that become ASCII letters don't part a name from its twin; figures and the subset prefix stay as they are."""
+    clean = ["霧島ゴシック", "明朝体ソフト 12", "標楷體", "微软雅黑", "新細明體", "Ｓ光明体"]
+    wrong = [mistaken(clean[0], "shift_jis", "cp1252"), mistaken(clean[1], "shift_jis", "cp1252"), mistaken(clean[2], "big5", "cp1252"), mistaken(clean[3], "gb18030", "latin_1"), mistaken(clean[4], "big5", "cp1252")]
+    assert any(c.isascii() and c.isalpha() for c in wrong[0])
+    items = clean * 2 + ["ABCDEF+" + wrong[0], *wrong[1:], "Søborg"]
+    fonts = spark.createDataFrame([(f"d{i}", 1, n, True) for i, n in enumerate(items)], "doc_id string, page int, base_font string, has_tounicode boolean")
+    audits = spark.createDataFrame([], "doc_id string, missing array<string>, affected_characters map<string,int>")
+    got = {(r.item, r.original) for r in garbled(spark.createDataFrame([], GLYPH), fonts, audits).collect()}
+    assert got == {("ABCDEF+" + wrong[0], "ABCDEF+" + clean[0]), *zip(wrong[1:], clean[1:5], strict=True)}
