@@ -128,3 +128,18 @@ def test_names_of_several_bytes_a_character(spark):
     audits = spark.createDataFrame([], "doc_id string, missing array<string>, affected_characters map<string,int>")
     got = {(r.item, r.original) for r in garbled(spark.createDataFrame([], GLYPH), fonts, audits).collect()}
     assert got == {("ABCDEF+" + wrong[0], "ABCDEF+" + clean[0]), *zip(wrong[1:], clean[1:5], strict=True)}
+
+
+def test_any_number_of_twins_of_one_skeleton(spark):
+    """Texts without ASCII share one skeleton: each meets its twin all the same, in names and in lines."""
+    clean = ["Газета", "Лазурский", "Обыкновенная", "Журнальная", "Петербург", "Академия", "Футура"]
+    wrong = [mistaken(c, "cp1251", "cp1252") for c in clean]
+    fonts = spark.createDataFrame([(f"d{i}", 1, n, True) for i, n in enumerate(clean * 2 + wrong)], "doc_id string, page int, base_font string, has_tounicode boolean")
+    audits = spark.createDataFrame([], "doc_id string, missing array<string>, affected_characters map<string,int>")
+    sjis = mistaken("霧島ゴシック", "shift_jis", "cp1252")
+    texts = ["霧島ゴシック: 12"] * 3 + [f"{c} {n}" for c in clean for n in (1, 2)] + [f"{w} 3" for w in wrong] + [f"{sjis}: 500"]
+    out = garbled(spark.createDataFrame(written(texts), GLYPH), fonts, audits).collect()
+    assert {(r.item, r.original) for r in out if r.source_field == "fontname"} == set(zip(wrong, clean, strict=True))
+    want = {(str(1 + 100 * (17 + k) + i), f"{c} 3") for k, c in enumerate(clean) for i in range(len(c))}
+    want |= {(str(1 + 100 * 24 + i), "霧島ゴシック: 500") for i in range(len(sjis))}
+    assert {(r.item, r.original) for r in out if r.source_field == "ch"} == want
