@@ -127,7 +127,7 @@ _PLAIN_WORD = regex.compile(r"(?<![\p{L}\p{M}\d.\-])(?![\p{Devanagari}\p{Thai}\p
 _GENERAL = [*TABLES["continued"], *TABLES["general"]]
 _HEAD = [*TABLES["continued"], *TABLES["heading"]]
 _MARKS = [*TABLES["continued"], *TABLES["ellipsis"], *TABLES["exclamation"], *TABLES["general"]]
-_NUMERIC = regex.compile(r"[\d%²³€)]\.$", regex.REVERSE)
+_NUMERIC = regex.compile(r"[0-9%²³€)]\.$", regex.REVERSE)
 _AFTER_NUMBER = [*TABLES["continued"], TABLES["de"][-1], TABLES["ru"][-1], *TABLES["general"]]
 UNCASED_STAY = [
     *TABLES["heading"],

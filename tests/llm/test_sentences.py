@@ -54,3 +54,8 @@ def test_edges(spark):
     out = sentence_units(df).collect()
     assert sum(r.doc_id == 5 for r in out) == 20000 and sum(r.doc_id == 4 for r in out) == 2 and not any(r.doc_id in (1, 2, 3) for r in out)
     assert sentence_units(df.limit(0)).count() == 0
+
+
+def test_digits_of_hindi_and_thai_stay():
+    for text in ("क्र. ५. भवन", "ข้อ ๕. อาคาร"):
+        assert [text[a:z] for a, z in sentences(text)] == [text]
