@@ -262,7 +262,8 @@ def merged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id (the record), page, table_no, row_no, n_cols, cells of the parsed documents' tables."""
-    flat = nested.flat_tables(cut(nested.dewey_nodes(table(spark, sf_dir, "parsed_docs"))))
+    nodes = cut(nested.dewey_nodes(table(spark, sf_dir, "parsed_docs")))
+    flat = {k: nested.tables_of(nodes, k) for k in ("table", "cell")}
     number = F.when(F.size("dewey") == 1, F.element_at("dewey", 1)).otherwise(1000 * (F.element_at("dewey", 1) + 1) + F.element_at("dewey", 2))
     t = flat["table"].select("record_id", F.col("node_path").alias("table_path"), number.alias("table_no"), F.expr("try_cast(page AS int)").alias("page"))
     c = flat["cell"].select("record_id", F.col("parent_path").alias("row_path"), F.regexp_replace("parent_path", r"\.rows\[\d+\]$", "").alias("table_path"), F.element_at("dewey", -1).alias("col_no"), F.element_at("dewey", -2).alias("row_no"), F.coalesce("text", F.lit("")).alias("value"))
@@ -278,7 +279,7 @@ def table_data_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def section_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = nested.flat_tables(nested.dewey_nodes(table(spark, sf_dir, "parsed_docs")))["field"]
+    f = nested.tables_of(nested.dewey_nodes(table(spark, sf_dir, "parsed_docs")), "field")
     return f.select("record_id", "node_path", "parent_path", "label", "value")
 
 

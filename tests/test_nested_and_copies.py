@@ -2,7 +2,7 @@ import json
 import random
 
 from foliograph.operators.copydiff import copy_differences, holding
-from foliograph.operators.nested import dewey_nodes, flat_tables
+from foliograph.operators.nested import PARSED_DOCUMENT, dewey_nodes, flat_tables, parsed, schema_paths, tables_of, with_paths
 
 DOC = {
     "preface": {"fields": {"label": "A"}, "paragraphs": [None, "p"], "items": None},
@@ -22,22 +22,58 @@ PATHS = {
 }
 
 
+def paths_by_record(nodes):
+    by = {}
+    for r in with_paths(nodes).collect():
+        by.setdefault(r.record_id, set()).add((r.node_kind, r.node_path, r.parent_path))
+    return by
+
+
 def test_nodes_in_any_wrapping(spark):
     s = json.dumps(DOC, ensure_ascii=False)
     payloads = [s, json.dumps(s), json.dumps([DOC]), json.dumps({"document": DOC, "schema": 2}), s[:-3], "", None, "null", "[]", json.dumps(DOC, indent=1)]
     df = spark.createDataFrame([(i, p, "x") for i, p in enumerate(payloads)], "record_id long, payload string, node_path string")
     nodes = dewey_nodes(df)
-    by = {}
-    for r in nodes.collect():
-        by.setdefault(r.record_id, set()).add((r.node_kind, r.node_path, r.parent_path))
-    assert by == {i: PATHS for i in (0, 1, 2, 3, 9)}
-    flat = flat_tables(nodes.filter("record_id = 0"))
-    assert [(r.number, r.title) for r in flat["section"].collect()] == [("I", "T")]
-    assert sorted(r.text or "" for r in flat["cell"].collect()) == ["", "1", "x"]
-    assert {tuple(r.dewey) for r in flat["cell"].collect()} == {(0, 0, 0, 0), (0, 0, 0, 1), (0, 0, 0)}
+    assert paths_by_record(nodes) == paths_by_record(dewey_nodes(df, bodies=False)) == {i: PATHS for i in (0, 1, 2, 3, 9)}
+    first = nodes.filter("record_id = 0")
+    flat = flat_tables(first)
+    assert set(flat) == set(schema_paths(PARSED_DOCUMENT))
+    assert [(r.number, r.title) for r in flat["sections"].collect()] == [("I", "T")]
+    assert [r.label for r in flat["preface.fields"].collect()] == ["A"] and [r.label for r in flat["sections.block.fields"].collect()] == ["L"]
+    assert sorted(r.text or "" for r in flat["sections.tables.rows[]"].collect()) == ["", "x"] and [r.text for r in flat["tables.rows[]"].collect()] == ["1"]
+    assert {tuple(r.dewey) for r in tables_of(first, "cell").collect()} == {(0, 0, 0, 0), (0, 0, 0, 1), (0, 0, 0)}
     assert dewey_nodes(df.limit(0)).count() == 0
 
 
+def test_envelopes_of_any_depth_and_blanks_around(spark):
+    deep, texts, wide = DOC, json.dumps(DOC), DOC
+    for _ in range(40):
+        deep = {"document": deep}
+    for _ in range(9):
+        texts = "\n " + json.dumps(texts)
+    for _ in range(20):
+        wide = {"payload": "  \t" + json.dumps({"inner": wide})} if len(json.dumps(wide)) < 200_000 else wide
+    bottomless = "[" * 50_000 + json.dumps(DOC) + "]" * 50_000
+    payloads = [json.dumps(deep), texts, json.dumps(wide), "\ufeff " + json.dumps(DOC), bottomless, bottomless[:-1], "[" * 50_000]
+    df = spark.createDataFrame(list(enumerate(payloads)), "record_id long, payload string")
+    assert paths_by_record(dewey_nodes(df, bodies=False)) == {i: PATHS for i in range(5)}
+
+
+def test_parser_with_a_stack():
+    from foliograph.operators.nested import _parsed_deep
+
+    good = [DOC, [], {}, [1, -2.5e3, True, None, "a\\\"b,]}"], {"a": {"b": [[]]}, "c": ""}, "text", 0]
+    for x in good:
+        assert _parsed_deep(json.dumps(x)) == _parsed_deep(json.dumps(x, indent=2)) == x
+    for bad in ("", "[1,]", "{,}", '{"a"}', '{"a":1,}', "[1 2]", "]", "[}", '{"a":1]', "1 2", '"a', "{1:2}", "[,1]", "nul"):
+        for read in (parsed, _parsed_deep):
+            try:
+                read(bad)
+            except ValueError:
+                continue
+            raise AssertionError(bad)
+
+
 SIDE = "id long, k string, p string, v string, n int, at timestamp, other string"
 
 
