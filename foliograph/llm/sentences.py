@@ -1,39 +1,46 @@
 """Sentence boundaries across languages and scripts, by cascading tables of break and no-break rules.
 
 A text is first cut into blocks at blank lines; a list line is a unit by itself. In what remains, every end mark and every wide
-gap is a candidate. Its surroundings go through the rule tables in order; each rule is a pair of patterns, one for what stands
-before the candidate and one for what follows, and the first pair that matches decides. Tables for quotations and brackets come first,
-then one for each language, whose abbreviations and ordinals differ, then the general ones. A document's languages mix, so a candidate sees
-all language tables; their patterns carry the script.
+gap is a candidate. What stands before it and what follows it go through rule tables in order; each rule is a pair of patterns,
+and the first pair that matches decides. A rule may also send the candidate on to the next table.
+
+Which tables make the cascade is told by the candidate's kind (after a quotation, after a mark without a gap, after a mark, a
+wide gap), by the cases of the sentence's letters, and by the script of the character that the mark follows: a full stop after
+Cyrillic goes through the tables for Cyrillic languages, and so on. Marks inside a quotation or brackets are no candidates.
+Pairs of quotation marks and brackets are found in one pass over a block, whatever their length; patterns see the whole block.
 
 Rows are independent: one pass over the documents in Arrow batches, no shuffle.
 
 Defined results: null, empty and blank texts have no sentences; repeated rows give repeated rows; offsets count code points;
-other columns are not read.
+a quotation mark or bracket without a partner in its block is none; other columns are not read.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-BREAK, STAY = True, False
+#: ON leaves a table for the next one.
+BREAK, STAY, ON = True, False, None
 
 
 class Rule(NamedTuple):
-    decision: bool
+    decision: bool | None
     before: regex.Pattern | None
     after: regex.Pattern | None
+    whole: bool = False
 
 
-def _rule(decision: bool, before: str = "", after: str = "", flags: int = 0) -> Rule:
-    """before ends at the candidate (its gap left out), after starts with what follows the gap; "" matches anything."""
-    return Rule(decision, regex.compile(f"(?:{before})$", flags | regex.REVERSE) if before else None, regex.compile(after, flags) if after else None)
+def _rule(decision: bool | None, before: str = "", after: str = "", flags: int = 0, whole: bool = False) -> Rule:
+    """before ends at the candidate (its gap left out), after starts with what follows the gap; "" matches anything.
+    whole: before is all that the sentence has so far."""
+    return Rule(decision, regex.compile(f"(?:{before})", flags | (0 if whole else regex.REVERSE)) if before else None, regex.compile(after, flags) if after else None, whole)
 
 
 def _words(*names: str) -> str:
@@ -41,7 +48,6 @@ def _words(*names: str) -> str:
 
 
 I = regex.IGNORECASE  # noqa: E741
-_OPEN, _CLOSE = "“„«「『‚‹", {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›", "‚": "‘"}
 _MARK = regex.compile(r"[.!?…。！？।॥؟｡．]+")
 _NUMBER = r"(?=\d|[IVXLC]+\b|[A-Z]\.?\d)"
 
@@ -62,19 +68,17 @@ RU_NUMBERED = ("д", "п", "пп", "ст", "гл", "рис", "табл", "стр
 RU_PERSON = r"(?:инж\.|проф\.|г-н|г-жа|д-р|доц\.|акад\.)\s"
 # ---- end of fixed values ------------------------------------------------------------------------------------------------
 
+_C = r"[”»」』’)\]\"]*"  # closers after a mark
+
 TABLES: dict[str, list[Rule]] = {
     "continued": [_rule(STAY, "", r"[.…,;:]")],
     "heading": [
-        _rule(STAY, r"^\s*(?:\d{1,3}(?:\.\d{1,3})*|[IVXLCDM]{1,7}|\p{Lu})\."),
-        _rule(STAY, r"^\s*(?:Part|Section|Chapter|Annex|Phần|Chương|Mục|Phụ lục|Điều|Teil|Abschnitt|Kapitel|Anlage|Partie|Chapitre|Annexe|Titre|Часть|Глава|Раздел|भाग|अध्याय|ส่วนที่|บทที่)\s+(?:\d{1,3}|[IVXLCDM]{1,7}|\p{Lu})\.", "", I),
-    ],
-    "ellipsis": [
-        _rule(BREAK, r"\p{Ll}.*(?:…|\.{2,})[”“»\"]*", r"[\p{Lu}]"),
-        _rule(STAY, r"(?:…|\.{2,})[”“»\"」』]*"),
-    ],
-    "exclamation": [
-        _rule(BREAK, r"[!?！？؟。।॥｡][\"”“»」』’)\]\s]*"),
+        _rule(STAY, r"(?:\d{1,3}(?:\.\d{1,3})*|[IVXLCDM]{1,7}|\p{Lu})\.", whole=True),
+        _rule(STAY, r"(?:Part|Section|Chapter|Annex|Phần|Chương|Mục|Phụ lục|Điều|Teil|Abschnitt|Kapitel|Anlage|Partie|Chapitre|Annexe|Titre|Часть|Глава|Раздел|भाग|अध्याय|ส่วนที่|บทที่)\s+(?:\d{1,3}|[IVXLCDM]{1,7}|\p{Lu})\.", "", I, whole=True),
     ],
+    "ellipsis": [_rule(STAY, rf"(?:…|\.{{2,}}){_C}")],
+    "ellipsis after small letters": [_rule(BREAK, rf"(?:…|\.{{2,}}){_C}", r"\p{Lu}")],
+    "exclamation": [_rule(BREAK, r"[!?！？؟。।॥｡][\"”»」』’)\]\s]*")],
     "vi": [
         _rule(STAY, _words(*VI_TITLES), r"(?=[\p{L}\d])"),
         _rule(STAY, r"(?<![\p{L}\d])Đ\.", r"(?=\d)"),
@@ -96,6 +100,8 @@ TABLES: dict[str, list[Rule]] = {
         _rule(STAY, r"(?<![\p{L}\d])\p{Ll}\.", r"(?=\p{L}\.)"),
         _rule(STAY, _words("hr", "dipl.-ing", "bzw", "gem", "z. b", "z.b", "ca", "vgl")),
         _rule(STAY, _words(*DE_NUMBERED), r"(?=\d)", I),
+    ],
+    "ordinals": [
         _rule(STAY, r"(?<![\d.,/])\d{1,2}\.", rf"(?={DE_MONTHS}|(?:Stock|Stockwerk|OG|Etage|Quartal|Halbjahr|Jahrhundert|Jh|Klasse|Mai|Auflage|Zivilsenat|Senat|Kammer)\b)", I),
     ],
     "fr": [
@@ -107,6 +113,8 @@ TABLES: dict[str, list[Rule]] = {
     "ru": [
         _rule(STAY, _words(*RU_STAY), "", I),
         _rule(STAY, _words(*RU_NUMBERED), r"(?=\d)", I),
+    ],
+    "persons": [
         _rule(BREAK, r"[\p{Cyrillic}\d%]\.", rf"(?={RU_PERSON})"),
     ],
     "ar": [_rule(STAY, r"(?<![\p{Arabic}\p{M}])\p{Arabic}\.", r"(?=\p{Arabic})")],
@@ -119,17 +127,30 @@ TABLES: dict[str, list[Rule]] = {
         _rule(STAY, "", r"[,;:\)\]–—\-\p{Ll}]"),
         _rule(BREAK),
     ],
+    # After a quotation that closes with an end mark.
+    "quotation goes on": [_rule(STAY, "", r"[,;:、，；：–—\-).]")],
+    "quotation, mixed case": [_rule(BREAK, "", r"\p{Lu}"), _rule(STAY, "", r"\p{Ll}")],
+    "quotation, small letters": [_rule(BREAK, "", r"\p{Lu}")],
+    "quotation first": [_rule(BREAK, "", r"[\p{Lu}\p{Ll}]"), _rule(STAY, "", r"と|って|という|など"), _rule(BREAK, "", r"\p{L}")],
+    "quotation within": [_rule(STAY, "", r"\p{L}")],
+    "quotation end": [_rule(BREAK)],
+    # After a mark without a gap.
+    "glued": [_rule(BREAK, rf"(?:[。！？｡।॥؟]|。\p{{P}}*){_C}"), _rule(BREAK, rf"[!?]{_C}", r"(?![\p{Lu}\p{Ll}])\p{L}")],
+    "address": [_rule(STAY)],
+    "glued prose": [
+        _rule(BREAK, rf"[!?]{_C}", r"\p{Lu}"),
+        _rule(STAY, rf"[!?]{_C}", r"\p{L}"),
+        _rule(STAY, r"\d\."),
+        _rule(ON, r"(?:\p{Ll}{2}|[)%²³\"”]|\d)[.!?]", r"\p{Lu}\p{L}*[\s\p{Ll}]"),
+        _rule(STAY),
+    ],
+    # A wide gap.
+    "gap after Thai": [_rule(BREAK)],
+    "gap": [_rule(STAY)],
 }
-CASCADE = [r for t in TABLES.values() for r in t]
-#: Of a candidate whose last word is none of these, has two letters or more and isn't the first of a heading, the language tables say nothing.
-_KNOWN = {x.lower().replace(" ", "").rpartition(".")[2].rpartition("-")[2] for n in (VI_TITLES, EN_TITLES, EN_NUMBERED, EN_MONTHS, EN_OPEN_ENDED, DE_STAY, DE_NUMBERED, FR_STAY, FR_NUMBERED, FR_MONTHS, RU_STAY, RU_NUMBERED) for x in n} | {"x", "v"}
-_PLAIN_WORD = regex.compile(r"(?<![\p{L}\p{M}\d.\-])(?![\p{Devanagari}\p{Thai}\p{Arabic}\p{Cyrillic}])\p{L}[\p{L}\p{M}]+\.$", regex.REVERSE)
-_GENERAL = [*TABLES["continued"], *TABLES["general"]]
-_HEAD = [*TABLES["continued"], *TABLES["heading"]]
-_MARKS = [*TABLES["continued"], *TABLES["ellipsis"], *TABLES["exclamation"], *TABLES["general"]]
-_NUMERIC = regex.compile(r"[0-9%²³€)]\.$", regex.REVERSE)
-_AFTER_NUMBER = [*TABLES["continued"], TABLES["de"][-1], TABLES["ru"][-1], *TABLES["general"]]
-UNCASED_STAY = [
+#: Where a sentence has letters of one case only, case tells of no new sentence: abbreviations of all languages, in any case.
+TABLES["one case"] = [
+    _rule(ON, "", r"[^\p{Lu}\p{Ll}]"),
     *TABLES["heading"],
     _rule(STAY, _words(*VI_TITLES, *EN_TITLES, *DE_STAY, *FR_STAY, *RU_STAY), "", I),
     _rule(STAY, _words(*EN_NUMBERED, *DE_NUMBERED, *FR_NUMBERED, *RU_NUMBERED, *EN_MONTHS, *FR_MONTHS, "k"), _NUMBER, I),
@@ -140,172 +161,227 @@ UNCASED_STAY = [
     _rule(BREAK, r"(?:[/²])\p{L}\.|\p{L}[²³]\.", ""),
     _rule(BREAK, r"(?<![\p{L}\d])sq\.\s?m\.", "", I),
     _rule(STAY, r"(?<![\p{L}\p{M}\d/.])\p{L}\.", r"(?=\p{L})"),
-    *TABLES["de"][-1:],
+    *TABLES["ordinals"],
 ]
+TABLES |= {
+    "one case, small": [_rule(BREAK, "", r"\p{Ll}")],
+    "one case, capital": [_rule(BREAK, "", r"\p{Lu}")],
+    "one case, no letters": [_rule(STAY, "", r"\p{Ll}")],
+}
+
+#: The tables of a full stop by the script of the character before it.
+BY_SCRIPT = {
+    "Latin": ("vi", "en", "de", "fr", "initials"),
+    "Cyrillic": ("ru", "persons", "initials"),
+    "Arabic": ("ar",),
+    "Devanagari": ("hi",),
+    "Thai": ("th",),
+    "number": ("ordinals", "persons"),
+    "other": ("vi", "en", "de", "ordinals", "fr", "ru", "persons", "ar", "hi", "th", "initials"),
+    "plain word": (),
+}
+_CLASSES = [(k, regex.compile(p)) for k, p in (("number", r"[0-9%²³€)]"), *[(s, rf"\p{{{s}}}") for s in ("Latin", "Cyrillic", "Arabic", "Devanagari", "Thai")])]
+#: The abbreviations' last words. Another Latin word of two letters or more is plain: no abbreviation's table says anything of it.
+_KNOWN = {x.lower().replace(" ", "").rpartition(".")[2].rpartition("-")[2] for n in (VI_TITLES, EN_TITLES, EN_NUMBERED, EN_MONTHS, EN_OPEN_ENDED, DE_STAY, DE_NUMBERED, FR_STAY, FR_NUMBERED, FR_MONTHS) for x in n} | {"x", "v"}
+_PLAIN_WORD = regex.compile(r"(?<![\p{L}\p{M}\d.\-])\p{Latin}[\p{Latin}\p{M}]+\.", regex.REVERSE)
+
+
+@lru_cache(1 << 14)
+def _script(c: str) -> str:
+    return next((k for k, p in _CLASSES if p.match(c)), "other")
+
+
+@lru_cache(1 << 10)
+def cascade(kind: str, case: str = "", mark: str = "", script: str = "") -> tuple[list[Rule], ...]:
+    """The tables for a candidate.
+
+    kind: quotation first, quotation within, glued, address, gap (after a mark), wide, wide after Thai. case: of the sentence's letters,
+    mixed, small, capital or none. mark: "." a full stop alone, ".)" with closers, "…", "!" others. script: of the character before ".".
+    """
+    if kind.startswith("quotation"):
+        own = {"mixed": ("quotation, mixed case",), "small": ("quotation, small letters",)}.get(case, ())
+        names: tuple[str, ...] = ("quotation goes on", *own, kind, "quotation end")
+    elif kind.startswith("wide"):
+        names = ("gap after Thai",) if kind == "wide after Thai" else ("gap",)
+    else:
+        names = {"glued": ("glued", "glued prose"), "address": ("glued", "address")}.get(kind, ())
+        if kind == "gap" and mark == "." and case != "mixed":
+            names += ("one case", {"small": "one case, small", "capital": "one case, capital"}.get(case, "one case, no letters"))
+        names += ("continued",)
+        if mark == ".":
+            names += ("heading", *BY_SCRIPT[script])
+        elif mark == "…":
+            names += ("ellipsis after small letters", "ellipsis") if case in ("mixed", "small") else ("ellipsis",)
+        elif mark == "!":
+            names += ("exclamation",)
+        names += ("general",)
+    return tuple(TABLES[n] for n in names)
+
+
+def decided(tables: tuple[list[Rule], ...], text: str, first: int, end: int, after: int) -> bool:
+    """What the tables say of a candidate: its sentence begins at ``first``, ends at ``end``, and ``after`` is what follows the gap."""
+    for rules in tables:
+        for r in rules:
+            p = r.before
+            if (p is None or (p.fullmatch(text, first, end) if r.whole else p.match(text, first, end))) and (r.after is None or r.after.match(text, after)):
+                if r.decision is None:
+                    break
+                return r.decision
+    return STAY
+
 
 _BULLET = regex.compile(r"[^\S\n]*[•●▪◦‣*·–\-][^\S\n]+\S")
 _NUMBERED = regex.compile(r"[^\S\n]*\(?(?:\d{1,3}[.)]|[a-zđ]\))\s+\S")
-_BLANK = regex.compile(r"(?:\r\n?|[\n  \x0b\x0c\x85])(?:[^\S\r\n]*(?:\r\n?|[\n  \x0b\x0c\x85]))+")
-_LINE = regex.compile(r"[^\r\n  \x0b\x0c\x85]+")
-_WIDE_GAP = regex.compile(r"\s*[\n ]\s*|\s{2,}")
-_LETTER = regex.compile(r"\p{L}")
+_BLANK = regex.compile(r"(?:\r\n?|[\n\u2028\u2029\x0b\x0c\x85])(?:[^\S\r\n]*(?:\r\n?|[\n\u2028\u2029\x0b\x0c\x85]))+")
+_LINE = regex.compile(r"[^\r\n\u2028\u2029\x0b\x0c\x85]+")
+_WIDE_GAP = regex.compile(r"\s*[\n\u2028]\s*|\s{2,}")
+_LETTER, _LAST_LETTER = regex.compile(r"\p{L}"), regex.compile(r"\p{L}", regex.REVERSE)
 _UPPER, _LOWER = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}")
 _THAI = regex.compile(r"[\p{Thai}]")
-_CASED = regex.compile(r"[\p{Lu}\p{Ll}]")
-_UNSPACED_MARK = "。！？｡।॥"
-_GLUED = regex.compile(r"(?:\p{Ll}{2,}|[)%²³\"”]|\d)[.!?]$")
-_GLUED_AFTER = regex.compile(r"\p{Lu}\p{L}*[\s\p{Ll}]")
-_URL = regex.compile(r"(?:://|www\.)\S*$", regex.REVERSE)
-_GOES_ON = regex.compile(r"と|って|という|など|[,;:、，；：\)\]–—\-]|\p{Ll}")
-
+_ADDRESS = regex.compile(r"(?:://|www\.)\S*")
+_INK, _LAST_INK = regex.compile(r"\S"), regex.compile(r"\S", regex.REVERSE)
 
-_OPENER = regex.compile(r"[“„«「『‚‹\"(\[（]")
+_PAIRED = regex.compile(r"[“”„«»「」『』‚‹›‘\"()\[\]（）]")
+_BRACKETS = {"(": ")", "[": "]", "（": "）"}
+_OPENS = {"»": "«", "」": "「", "』": "『", "›": "‹", "‘": "‚"} | {z: a for a, z in _BRACKETS.items()}
 _CLOSERS = "”»」』’)]\""
 
 
 def quotations(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, is quotation) of outermost quotations and brackets. What is not closed in the block is no pair."""
-    out, i, n = [], 0, len(text)
-    while (m := _OPENER.search(text, i)) is not None:
+    """(start, end, is quotation) of outermost quotations and brackets, of any length, in one pass. What is not closed is no pair.
+
+    “ closes a „ that is open, else it opens; a straight mark opens after a gap and closes where none stands before it.
+    """
+    if not _PAIRED.search(text):
+        return []
+    partner: dict[int, int] = {}
+    open_: dict[str, list[int]] = {c: [] for c in "“„«「『‚‹([（"}
+    straight: list[int] = []  # straight marks that wait for the next that may close
+    for m in _PAIRED.finditer(text):
         i, c = m.start(), m[0]
-        if c in _CLOSE:
-            want, depth = _CLOSE[c], 1
-            j = i + 1
-            while j < n:
-                d = text[j]
-                if d in want and not (c == "„" and d == "”" and "“" in text[i:j]):
-                    depth -= 1
-                    if not depth:
-                        break
-                elif d == c:
-                    depth += 1
-                j += 1
-            if j < n and j - i <= 600:
-                out.append((i, j + 1, True))
-                i = j + 1
-                continue
-        elif c == '"' and (i == 0 or text[i - 1].isspace() or text[i - 1] in "([—–-：:/") and i + 1 < n and not text[i + 1].isspace():
-            j = i + 1
-            while (j := text.find('"', j)) > 0 and text[j - 1].isspace():
-                j += 1
-            if 0 < j - i <= 600:
-                out.append((i, j + 1, True))
-                i = j + 1
-                continue
-        elif c in "([（":
-            j = text.find(")]）"["([（".index(c)], i)
-            if 0 < j - i <= 300:
-                k = i
-                while (k := text.find(c, k + 1)) != -1 and k < j:  # nested ones
-                    j2 = text.find(")]）"["([（".index(c)], j + 1)
-                    if j2 == -1 or j2 - i > 300:
-                        break
-                    j = j2
-                out.append((i, j + 1, False))
-                i = j + 1
-                continue
-        i += 1
+        if c == '"':
+            if straight and i and not text[i - 1].isspace():
+                for k in straight:
+                    partner[k] = i
+                straight = []
+            if (i == 0 or text[i - 1].isspace() or text[i - 1] in "([—–-：:/") and i + 1 < len(text) and not text[i + 1].isspace():
+                straight.append(i)
+            continue
+        if c in "“”":
+            low, high = open_["„"], open_["“"]
+            if low and (not high or low[-1] > high[-1] or c == "”" and not high):
+                partner[low.pop()] = i
+            elif c == "”":
+                if high:
+                    partner[high.pop()] = i
+            else:
+                high.append(i)
+        elif c in open_:
+            open_[c].append(i)
+        elif open_[_OPENS[c]]:
+            partner[open_[_OPENS[c]].pop()] = i
+    out, at = [], 0
+    for i in sorted(partner):
+        if i >= at:
+            at = partner[i] + 1
+            out.append((i, at, text[i] not in _BRACKETS))
     return out
 
 
-def _cascade(before: str, after: str, at_head: bool, last: str) -> bool | None:
-    """The cascade's decision. Tables whose patterns can't match what stands before the candidate are passed by."""
-    if at_head and (d := _decide(_HEAD, before, after)) is not None:
-        return d
-    if last != ".":
-        return _decide(_MARKS, before, after)
-    if (m := _PLAIN_WORD.search(before)) and m[0][:-1].lower() not in _KNOWN:
-        return _decide(_GENERAL, before, after)
-    if _NUMERIC.search(before):
-        return _decide(_AFTER_NUMBER, before, after)
-    return _decide(CASCADE, before, after)
-
-
-def _decide(rules: list[Rule], before: str, after: str) -> bool | None:
-    for r in rules:
-        if (r.before is None or r.before.search(before)) and (r.after is None or r.after.match(after)):
-            return r.decision
-    return None
-
-
 def _unit(text: str, spans: list[tuple[int, int, bool]]) -> list[int]:
-    """The places in a unit where one sentence ends and the next may begin."""
-    cuts, start, s = [], 0, 0
-    composed = unicodedata.is_normalized("NFC", text)
-    n = len(text)
+    """The places in a unit (composed) where one sentence ends and the next may begin."""
+    cuts, start, s, n = [], 0, 0, len(text)
     candidates = [(m.start(), m.end(), True) for m in _MARK.finditer(text)]
-    if _THAI.search(text):
+    thai = _THAI.search(text) is not None
+    if thai:
         candidates = sorted(candidates + [(m.start(), m.start(), False) for m in _WIDE_GAP.finditer(text)], key=lambda x: (x[1], x[2]))
+    addresses = [m.span() for m in _ADDRESS.finditer(text)] if "://" in text or "www." in text else []
+    address, first = 0, -1
+    # What is known of the sentence so far; each part of it is looked at once.
+    seen, upper, lower, after_thai = 0, False, False, False
+    ink_end = -1  # where the ink of the quotation at s ends before its closing mark
     for a, e, mark in candidates:
         if e < start:
             continue
         while s < len(spans) and spans[s][1] <= a:
-            s += 1
+            s, ink_end = s + 1, -1
         quote, end = None, e
         if s < len(spans) and spans[s][0] < a:
             x, z, is_quote = spans[s]
-            if not is_quote or not mark or text[e : z - 1].strip():
+            if not is_quote or not mark:
+                continue
+            if ink_end < 0:
+                ink_end = m.end() if (m := _LAST_INK.search(text, x, z - 1)) else x
+            if e < ink_end:
                 continue
             quote, e = x, z
-        if not mark:
-            letters = _LETTER.findall(text[start:a])
-            if letters and _THAI.match(letters[-1]) or text[start:a].rstrip()[-1:] and _THAI.match(text[start:a].rstrip()[-1]):
-                cuts.append(a)
-                start = a
-            continue
-        while e < n and text[e] in "”»」』’)]\"":  # closers without a partner
-            if text[e] == '"' and any(b == e for b, _, _ in spans[s : s + 2]):
-                break
-            e += 1
+        if mark:
+            while quote is None and e < n and text[e] in _CLOSERS:  # closers without a partner
+                if text[e] == '"' and any(b == e for b, _, _ in spans[s : s + 2]):
+                    break
+                e += 1
+            while quote is not None and e < n and text[e] in _CLOSERS:
+                if text[e] == '"' and any(b == e for b, _, _ in spans[s : s + 2]):
+                    break
+                e += 1
         gap = e
         while gap < n and text[gap].isspace():
             gap += 1
-        if gap >= n:
+        if mark and gap >= n:
             break
-        at_head = e - start <= 40
-        before, after = text[start if at_head else e - 32 : e], text[gap : gap + 32]
-        if not composed:
-            before, after = unicodedata.normalize("NFC", before), unicodedata.normalize("NFC", after)
-        sentence = text[start:e]
-        uncased = not _UPPER.search(sentence) or not _LOWER.search(sentence)
-        last = text[a] if a + 1 == end else "…" if text[a:end].strip(".…") == "" else text[end - 1]
-        decision: bool | None
-        if quote is not None:
-            first = not text[start:quote].strip()
-            nxt = after[0]
-            if nxt in ",;:、，；：–—-)" or after[:1] == "." :
-                decision = STAY
-            elif _CASED.match(nxt) and not uncased:
-                decision = nxt.isupper()
-            elif _CASED.match(nxt) and nxt.isupper() and _LOWER.search(sentence):
-                decision = BREAK
-            elif _LETTER.match(nxt):
-                decision = first and not _GOES_ON.match(after) if not _CASED.match(nxt) else first
+        if seen < e:
+            upper = upper or _UPPER.search(text, seen, e) is not None
+            lower = lower or _LOWER.search(text, seen, e) is not None
+            if thai:
+                if (m := _LAST_LETTER.search(text, seen, e)) is not None:
+                    after_thai = _THAI.match(m[0]) is not None
+            seen = e
+        if first < start:
+            first = m.start() if (m := _INK.search(text, start)) else n
+        case = ("mixed" if lower else "capital") if upper else "small" if lower else "none"
+        if not mark:
+            last_ink = _LAST_INK.search(text, start, e)
+            tables = cascade("wide after Thai" if last_ink is not None and (after_thai or _THAI.match(last_ink[0])) else "wide")
+        elif quote is not None:
+            tables = cascade("quotation first" if quote <= first else "quotation within", case)
+        else:
+            if a + 1 == end:
+                kind = text[a] if text[a] in ".…" else "!"
+                kind = ".)" if kind == "." and e > end else kind
+            elif not text[a:end].strip(".…"):
+                kind = "…"
             else:
-                decision = BREAK
-        elif gap == e:
-            if last in _UNSPACED_MARK or "。" in text[a:e]:
-                decision = BREAK
-            elif last == "؟":
-                decision = BREAK
-            elif last in "!?" and _LETTER.match(after):
-                decision = _UPPER.match(after) is not None and not _URL.search(text[start:e]) or not _CASED.match(after)
+                kind = "!" if text[end - 1] != "." else "."
+            script = ""
+            if kind == ".":
+                script = _script(text[a - 1]) if a else "other"
+                if script == "Latin" and (m := _PLAIN_WORD.match(text, first, e)) is not None and m[0][:-1].lower() not in _KNOWN:
+                    script = "plain word"
+            if gap > e:
+                tables = cascade("gap", case, kind, script)
             else:
-                decision = bool(_GLUED.search(before) and _GLUED_AFTER.match(after) and not _URL.search(before) and not regex.search(r"\d[.]$", before)) and _cascade(before, after, at_head, last)
-        else:
-            decision = None
-            if uncased and last == "." and a + 1 == e and _CASED.match(after):
-                decision = _decide(UNCASED_STAY, before, after)
-                if decision is None and after[0].islower() == (not _UPPER.search(sentence)):
-                    decision = BREAK if _LETTER.search(sentence) else STAY
-            if decision is None:
-                decision = _cascade(before, after, at_head, last)
-        if decision:
+                while address < len(addresses) and addresses[address][1] < e:
+                    address += 1
+                inside = address < len(addresses) and addresses[address][0] < e
+                tables = cascade("address" if inside else "glued", case, kind, script)
+        if decided(tables, text, first, e, gap):
             cuts.append(e)
-            start = e
+            start, upper, lower, after_thai = e, False, False, False
     return cuts
 
 
+def _composed(text: str) -> tuple[str, list[int] | None]:
+    """The text composed, and of each place in it the place it has in the text (None: the same)."""
+    if unicodedata.is_normalized("NFC", text):
+        return text, None
+    out, at = [], []
+    for m in regex.finditer(r"\X", text):
+        y = unicodedata.normalize("NFC", m[0])
+        out.append(y)
+        at += [m.start()] * len(y)
+    return "".join(out), [*at, len(text)]
+
+
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of every sentence, in code points, end exclusive."""
     out: list[tuple[int, int]] = []
@@ -319,11 +395,12 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             out.append((a, z))
 
     def segment(a: int, z: int) -> None:
-        body = text[a:z]
+        body, places = _composed(text[a:z])
         at = a
         for c in _unit(body, quotations(body)):
-            add(at, a + c)
-            at = a + c
+            c = a + (c if places is None else places[c])
+            add(at, c)
+            at = c
         add(at, z)
 
     if not text:

@@ -59,3 +59,40 @@ def test_edges(spark):
 def test_digits_of_hindi_and_thai_stay():
     for text in ("क्र. ५. भवन", "ข้อ ๕. อาคาร"):
         assert [text[a:z] for a, z in sentences(text)] == [text]
+
+
+def test_long_quotations_and_brackets_stay_whole():
+    for n in (10, 60, 5000):
+        inner = "Mốc bị dời. Cần đo lại. " * n
+        for a, z in ("“”", "«»", "„“", '""', "「」"):
+            text = f"Người kiểm tra ghi: {a}{inner.strip()}{z} rồi trả lại. Hội đồng họp."
+            assert [text[x:y] for x, y in sentences(text)] == [text[: -len(" Hội đồng họp.")], "Hội đồng họp."]
+        for a, z in ("()", "[]"):
+            text = f"It keeps {a}{'One stop. Two. ' * n}(and three. Yes.) end{z} the file. That was all."
+            assert [text[x:y] for x, y in sentences(text)] == [text[: -len(" That was all.")], "That was all."]
+
+
+def test_marks_without_partner_are_none():
+    text = "The file (page 3 is lost. Nobody saw “it. Then (see p. 4.) it rained. „Gut.“ Done."
+    assert [text[a:z] for a, z in sentences(text)] == ["The file (page 3 is lost.", "Nobody saw “it.", "Then (see p. 4.) it rained.", "„Gut.“", "Done."]
+
+
+def test_decomposed_text_has_its_own_offsets():
+    import unicodedata
+
+    pieces = ["TS. Quách Đoan và ThS. Mẫn Khải ký.", "Người kiểm tra ghi: \"Mốc bị dời. Cần đo lại.\" rồi trả lại hồ sơ.", "Ắ! Ế? Ổ."]
+    text = unicodedata.normalize("NFD", " ".join(pieces))
+    assert [unicodedata.normalize("NFC", text[a:z]) for a, z in sentences(text)] == [*pieces[:2], "Ắ!", "Ế?", "Ổ."]
+
+
+@pytest.mark.parametrize("part", ["“", "(", "a.b", "3.5  ", "x. y", "「。", 'a "', "Ā. ", "ก 1  ", "http://a.b.c/", "no. "])
+def test_long_texts_take_linear_time(part):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        sentences(part * n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 30 * max(seconds(8_000), 0.01)
