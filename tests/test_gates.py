@@ -110,3 +110,49 @@ def test_templates(spark):
     r = templates.assembled(f, ["doc_id"], ["o"]).first()
     assert (r.value, r["at"].o) == ("2", 1)
     assert F is not None
+
+
+def test_proof_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows, hay = [], {}
+    for d in ("a", "b", "c"):
+        pages = [" ".join("".join(rng.choices("ab.", k=rng.choice([1, 1, 2, 9]))) for _ in range(rng.choice([0, 1, 1, 2, 400]))) for _ in range(700)]
+        rows += [(d, i, t) for i, t in enumerate(pages)]
+        hay[d] = " ".join(t for t in pages if t)
+    values = []
+    for d, text in hay.items():
+        for _ in range(150):
+            n = rng.choice([1, 2, 3, 5, 6, 7, 11, 12, 13, 40, 700, 3000])
+            i = rng.randrange(len(text) - n)
+            v = text[i : i + n]
+            if rng.random() < 0.5 and v.strip():
+                k = rng.randrange(len(v))
+                v = v[:k] + rng.choice("ab c.") + v[k + 1 :]
+            if rng.random() < 0.3:
+                v = v.replace(" ", "")
+            values.append((d, f"p{len(values)}", v, 1, None, [v[: n // 2], v[n // 2 :]] if rng.random() < 0.6 else None))
+    squeeze = lambda t: " ".join(t.split())
+    tight = lambda t: "".join(t.split())
+    want = {}
+    for d, p, v, _, _, parts in values:
+        level = None
+        if tight(v):
+            if tight(v) in tight(hay[d]):
+                level = 2
+            elif parts and all(squeeze(x) in hay[d] for x in parts) and tight("".join(parts)) == tight(v):
+                level = 3
+        want[p] = level
+    assert set(want.values()) == {None, 2, 3}
+    texts = spark.createDataFrame(rows, "doc_id string, page int, text string")
+    out = provenance.verify(spark.createDataFrame(values, VALUE), texts).collect()
+    assert {r.path: r.proof_level for r in out} == want
+    lined = texts.selectExpr("doc_id", "0 AS page", "page AS line_no", "text")
+    assert {r.path: r.proof_level for r in provenance.verify(spark.createDataFrame(values, VALUE), lined).collect()} == want
+
+
+def test_a_value_over_many_pages(spark):
+    text = "\f".join("abcdefghijklmnopqrstuvwxyz")
+    rows = [("ten", "abcdefghij", 1, None, None), ("all", "a b c d e f g h i j k l m n o p q r s t u v w x y z", 1, None, None), ("no", "a b c d e f g h i j k l m n o p q r s t u v w x y y", 1, None, None), ("one", "q", 1, None, None), ("last", "y z", 1, None, None)]
+    assert verified(spark, rows, text) == {"ten": 2, "all": 2, "no": None, "one": 2, "last": 2}
