@@ -17,16 +17,16 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial, reduce
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliograph.llm.blocks import bounded_blocks
 from foliograph.llm.encoding import damaged_spans, legacy_line
-from foliograph.llm.glyphstream import CHUNK, PAD, Lines, streamed, whole_groups
-from foliograph.session import cut
+from foliograph.llm.glyphstream import CHUNK, PAD, Lines, by_lines, whole_groups, with_open
 
 # ---- Fixed values: letters with the looks of Latin ones ------------------------------------------------------------------
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеоѕіјрсухһԁԛԝѵҮүӏԌꙅ"
@@ -126,11 +126,14 @@ PLAIN_TEXT = r"^[ -~¡-¬®-ÏÑ-ƈƊ-ɏḀ-ỿ‐-‧‰-⁞₠-₿]*$"
 def term_cases(texts: DataFrame, terms: DataFrame, term_chars: int = 50_000_000) -> DataFrame:
     """source_field, row_id, term_id of texts (source_field, row_id, text) that look like a term (term_id, term) but differ.
 
-    The words of the terms go to the tasks; ``term_chars`` bounds them, and a larger list is refused.
+    The words of the terms go to the tasks, in blocks of at most ``term_chars`` characters (or one term), as many passes as that takes.
     """
     terms = terms.filter(F.col("term").isNotNull()).select("term_id", "term").distinct()
-    if (terms.agg(F.sum(F.length("term"))).first()[0] or 0) > term_chars:
-        raise ValueError(f"the terms have more than {term_chars} characters")
+    odd = texts.filter(F.col("text").isNotNull() & ~F.col("text").rlike(PLAIN_TEXT)).select("source_field", "row_id", "text")
+    return reduce(DataFrame.unionByName, [_term_pass(odd, block) for block in bounded_blocks(terms, ["term_id", "term"], "term", term_chars)])
+
+
+def _term_pass(odd: DataFrame, terms: DataFrame) -> DataFrame:
     vocabulary = words_of(plain(r.term) for r in terms.select("term").collect())
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +141,6 @@ def term_cases(texts: DataFrame, terms: DataFrame, term_chars: int = 50_000_000)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([known(t) for t in b.column(2).to_pylist()], pa.string())], [*b.schema.names, "term"])
 
-    odd = texts.filter(F.col("text").isNotNull() & ~F.col("text").rlike(PLAIN_TEXT)).select("source_field", "row_id", "text")
     fixed = odd.mapInArrow(repair, "source_field string, row_id long, text string, term string")
     return fixed.filter("term <> text").join(terms, "term").select("source_field", "row_id", "term_id")
 
@@ -146,28 +148,31 @@ def term_cases(texts: DataFrame, terms: DataFrame, term_chars: int = 50_000_000)
 _OUT = "hit boolean, seq long, word string"
 
 
-def _glyph_cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in whole_groups(batches, ["doc_id", "page", "chunk"]):
-        lines = Lines(t, CHUNK)
-        hits, seqs, named = [], [], []
-        vocabulary: set[str] = set()
-        ch, again, home, seq = lines.ch, lines.again, lines.home, lines.seq
-        for a, z in zip(lines.start.tolist(), lines.end.tolist(), strict=True):
-            text = "".join([c for c in ch[a:z] if c])
-            if not text or not home[a:z].any():
-                continue
-            if not _SUSPECT.search(text):
-                vocabulary.update(_WORD.findall("".join([ch[i] for i in range(a, z) if ch[i] and not again[i]])))
-                continue
-            for kind, i, word in _line_cases(ch, again, a, z):
-                if kind is None:
-                    vocabulary.add(word)
-                elif home[i]:
-                    hits.append(kind)
-                    seqs.append(int(seq[i]))
-                    named.append(word)
-        n = len(vocabulary)
-        yield pa.RecordBatch.from_arrays([pa.array(hits + [None] * n, pa.bool_()), pa.array(seqs + [None] * n, pa.int64()), pa.array(named + sorted(vocabulary), pa.string())], ["hit", "seq", "word"])
+def _glyph_kernel(chunk: int, gap: int, pad: int):
+    def cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["doc_id", "page", "chunk"]):
+            lines = Lines(t, chunk, pad, gap)
+            hits, seqs, named = [], [], []
+            vocabulary: set[str] = set()
+            ch, again, home, seq = lines.ch, lines.again, lines.home, lines.seq
+            for a, z, whole in zip(lines.start.tolist(), lines.end.tolist(), lines.whole.tolist(), strict=True):
+                text = "".join([c for c in ch[a:z] if c])
+                if not text or not whole or not home[a:z].any():
+                    continue
+                if not _SUSPECT.search(text):
+                    vocabulary.update(_WORD.findall("".join([ch[i] for i in range(a, z) if ch[i] and not again[i]])))
+                    continue
+                for kind, i, word in _line_cases(ch, again, a, z):
+                    if kind is None:
+                        vocabulary.add(word)
+                    elif home[i]:
+                        hits.append(kind)
+                        seqs.append(int(seq[i]))
+                        named.append(word)
+            n = len(vocabulary)
+            yield with_open([pa.array(hits + [None] * n, pa.bool_()), pa.array(seqs + [None] * n, pa.int64()), pa.array(named + sorted(vocabulary), pa.string())], ["hit", "seq", "word"], lines)
+
+    return cases
 
 
 def _line_cases(ch: list[str | None], again, a: int, z: int) -> Iterator[tuple[bool | None, int, str | None]]:
@@ -233,9 +238,9 @@ def _line_cases(ch: list[str | None], again, a: int, z: int) -> Iterator[tuple[b
                         yield False, r, y
 
 
-def glyph_cases(glyphs: DataFrame) -> DataFrame:
+def glyph_cases(glyphs: DataFrame, chunk: int = CHUNK, pad: int = PAD) -> DataFrame:
     """seq of every glyph row whose ch isn't the ordinary character it shows."""
-    found = cut(streamed(glyphs, ["ch", "x0", "top", "size"], CHUNK, PAD).mapInArrow(_glyph_cases, _OUT))
+    found = by_lines(glyphs, ["ch", "x0", "top", "size"], partial(_glyph_kernel, chunk, pad), _OUT, chunk, pad)
     vocabulary = found.filter("hit IS NULL").select("word").distinct()
     return found.filter("hit").select("seq").unionByName(found.filter("NOT hit").join(vocabulary, "word", "left_semi").select("seq"))
 

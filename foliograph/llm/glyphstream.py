@@ -3,32 +3,69 @@
 A page's rows are spread by ranges of ``seq`` (``CHUNK`` wide), so neither a large file nor a large page makes a large task,
 and sorted inside the shuffle's partitions; Python then sees flat, sorted columns batch by batch. Where an operator needs the
 neighbourhood of a row (its line), rows within ``PAD`` of a chunk's end also go to the chunk beside it as context, and each
-result is taken from the row's own chunk only.
+result is taken from the row's own chunk only. A chunk with a line that reaches to the end of its context is read again with a wider one
+(``by_lines``), so no line is seen cut. Neighbours in a line are taken to lie at most ``PAD`` apart in seq.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, PAD = 1 << 16, 1 << 10
+from foliograph.session import cut
 
+CHUNK, PAD, WIDER = 1 << 16, 1 << 10, 16
+#: Columns of a chunk that has to be read again; null in results.
+OPEN = "open_doc string, open_page int, open_chunk long"
 
-def streamed(glyphs: DataFrame, columns: list[str], chunk: int = CHUNK, pad: int = 0) -> DataFrame:
-    """doc_id, page, chunk, seq and ``columns``, sorted by these in partitions that hold whole chunks. Rows without a seq have no place and are left out."""
-    c = F.floor(F.col("seq") / chunk).cast("long")
+
+def streamed(glyphs: DataFrame, columns: list[str], chunk: int = CHUNK, pad: int = 0, chunks: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, chunk, seq and ``columns``, sorted by these in partitions that hold whole chunks. Rows without a seq have no place and are left out.
+
+    chunks: (doc_id, page, chunk) to read only.
+    """
     rows = glyphs.filter(F.col("seq").isNotNull())
     if pad:
-        at = F.pmod(F.col("seq"), F.lit(chunk))
-        rows = rows.withColumn("chunk", F.explode(F.array_compact(F.array(c, F.when(at < pad, c - 1), F.when(at >= chunk - pad, c + 1)))))
+        rows = rows.withColumn("chunk", F.explode(F.sequence(F.floor((F.col("seq") - pad) / chunk).cast("long"), F.floor((F.col("seq") + pad) / chunk).cast("long"))))
     else:
-        rows = rows.withColumn("chunk", c)
+        rows = rows.withColumn("chunk", F.floor(F.col("seq") / chunk).cast("long"))
     names = ["doc_id", "page", "chunk", "seq"]
-    return rows.select(*names, *columns).repartition("doc_id", "page", "chunk").sortWithinPartitions(*names)
+    rows = rows.select(*names, *columns)
+    if chunks is not None:
+        c = chunks.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), F.col("chunk").alias("_c"))
+        rows = rows.join(c, rows["doc_id"].eqNullSafe(c["_d"]) & rows["page"].eqNullSafe(c["_p"]) & (rows["chunk"] == c["_c"]), "left_semi")
+    return rows.repartition("doc_id", "page", "chunk").sortWithinPartitions(*names)
+
+
+def by_lines(glyphs: DataFrame, columns: list[str], kernel: Callable[[int], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], schema: str, chunk: int = CHUNK, pad: int = PAD) -> DataFrame:
+    """What the kernel finds in whole lines: ``schema``. The kernel, made for a width of context, gives the columns OPEN besides, for chunks that
+    hold a line cut short (``Lines.open``)."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    found, todo = [], None
+    while True:
+        out = cut(streamed(glyphs, columns, chunk, pad, todo).mapInArrow(kernel(pad), f"{schema}, {OPEN}"))
+        found.append(out.filter("open_chunk IS NULL").select(*names))
+        todo = out.filter("open_chunk IS NOT NULL").select(F.col("open_doc").alias("doc_id"), F.col("open_page").alias("page"), F.col("open_chunk").alias("chunk")).distinct()
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        pad *= WIDER
+
+
+def with_open(columns: list[pa.Array], names: list[str], lines: Lines) -> pa.RecordBatch:
+    """A kernel's results, and the chunks to read again."""
+    n, t = len(lines.open), lines.table
+    rows = pa.array(lines.open, pa.int64())
+    size = len(columns[0])
+    out = [pa.concat_arrays([c, pa.nulls(n, c.type)]) for c in columns]
+    for k in ("doc_id", "page", "chunk"):
+        own = t.column(k).take(rows)
+        out.append(pa.concat_arrays([pa.nulls(size, own.type), *own.chunks]))
+    return pa.RecordBatch.from_arrays(out, [*names, "open_doc", "open_page", "open_chunk"])
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -96,9 +133,10 @@ class Lines:
 
     A line ends where the pen jumps: across both axes, back along the line, or far ahead. ``again`` marks rows that draw the
     character before them a second time at the same place; ``home`` rows that are no context. Exact repeats are dropped.
+    ``whole`` lines belong to a chunk none of whose own lines goes on beyond its context; ``open`` are the first rows of the other chunks.
     """
 
-    def __init__(self, t: pa.Table, chunk: int, again_share: float = 0.15):
+    def __init__(self, t: pa.Table, chunk: int, pad: int = 0, gap: int = PAD, again_share: float = 0.15):
         seq = t.column("seq").to_numpy()
         group = changes(t, ["doc_id", "page", "chunk"])
         keep = group.copy()
@@ -123,3 +161,18 @@ class Lines:
             c = codes(t.column("ch"))
             self.again[1:] = ~new[1:] & (c[1:] == c[:-1]) & near(x0, top, size, again_share)
         self.home = np.floor_divide(seq, chunk) == t.column("chunk").to_numpy()
+        first = np.flatnonzero(group)
+        number = np.cumsum(group) - 1
+        last = np.append(first[1:], len(seq)) - 1
+        self.whole, self.open = np.ones(len(self.start), bool), []
+        if len(seq) and not self.home.all():
+            of = number[self.start]
+            own = np.logical_or.reduceat(self.home, self.start)
+            low = t.column("chunk").to_numpy()[self.start] * chunk - pad
+            # A row at the end of its context, and near enough to that end for a neighbour beyond it.
+            at_start = (self.start == first[of]) & ~self.home[self.start] & (seq[self.start] - low < gap)
+            at_end = (self.end - 1 == last[of]) & ~self.home[self.end - 1] & (low + chunk + 2 * pad - seq[self.end - 1] <= gap)
+            short = own & (at_start | at_end)
+            bad = np.unique(of[short])
+            self.whole = ~np.isin(of, bad)
+            self.open = first[bad].tolist()

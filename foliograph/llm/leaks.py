@@ -1,8 +1,10 @@
 """Evaluation texts leaking into training text, by suffix arrays over shards of the corpus.
 
 Documents stream through Arrow; every ``SHARD`` tokens make a shard with a suffix array of its own, built by prefix doubling on
-whole token ranks together with the evaluation items' tokens, so that both share one order. Every evaluation suffix is binary-searched in the
-shard's array; the equal range gives every verbatim match, and matches on one diagonal join to the longest match with its place.
+whole token ranks together with the evaluation items' tokens, so that both share one order. Doubling ends at the least length of a match:
+suffixes that agree in so many tokens are matches in any order, so their order beyond that isn't needed. Every evaluation suffix is
+binary-searched in the shard's array; the equal range, without the places where the match begins earlier, gives every longest match, whose
+length the ranks of the doubling tell.
 Nothing is shuffled but the few matches. A document longer than a shard is a shard by itself.
 
 The items are a stated query set: they go to the tasks in blocks of at most ``BLOCK_CHARS`` characters, as many passes as
@@ -26,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliograph.llm.blocks import bounded_blocks
+
 MIN_WORDS, MIN_CHARS, SHARD, BLOCK_CHARS = 12, 24, 400_000, 4_000_000
 UNSPACED = ("zh", "ja")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -46,23 +50,34 @@ def chars(text: str) -> list[str]:
     return list("".join(_WORD.findall(folded(text))))
 
 
-def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """The rank of each position's next ``depth`` tokens among all positions, by prefix doubling; 0 is past the end.
+def rank_levels(tokens: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """By prefix doubling, for 1, 2, 4, … up to ``depth`` tokens: the rank of each position's next so many tokens among all positions; 0 is past the end.
 
     Stretches that meet a separator (a token that occurs once) differ from all others.
     """
     rank, have = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1, 1
+    levels = [(1, rank)]
     while have < depth:
         step = min(have, depth - have)
         ahead = np.zeros_like(rank)
         ahead[:-step] = rank[step:]
         rank = np.unique(rank * (rank.max() + 1) + ahead, return_inverse=True)[1].astype(np.int64) + 1
         have += step
-    return rank
+        levels.append((have, rank))
+    return levels
+
+
+def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of each position's next ``depth`` tokens among all positions."""
+    return rank_levels(tokens, depth)[-1][1]
 
 
 def shard_matches(docs: list[np.ndarray], items: list[np.ndarray], depth: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, item, tokens in the match, its first token in the document, in the item) of every longest match of ``depth`` or more."""
+    """(document, item, tokens in the match, its first token in the document, in the item) of every longest match of ``depth`` or more.
+
+    Suffixes are ordered by their first ``depth`` tokens, and those that agree in them by the token before: so of an equal range only the
+    places where the match can't begin a token earlier are taken. A text that repeats itself has few of these.
+    """
     joined, owner, place, sep = [], [], [], -1
     for side in (docs, items):
         for i, t in enumerate(side):
@@ -73,26 +88,40 @@ def shard_matches(docs: list[np.ndarray], items: list[np.ndarray], depth: int) -
     if not joined:
         return
     split = sum(len(t) + 1 for t in docs)
-    rank = suffix_ranks(np.concatenate(joined), depth)
+    levels = rank_levels(np.concatenate(joined), depth)
+    one, rank = levels[0][1], levels[-1][1]
     owner, place = np.concatenate(owner), np.concatenate(place)
+    before = np.concatenate([[0], one[:-1]])
+    wide = one.max() + 1
     corpus, query = rank[:split], rank[split:]
-    order = np.argsort(corpus, kind="stable")  # the shard's suffix array
-    ordered = corpus[order]
-    low, high = np.searchsorted(ordered, query, "left"), np.searchsorted(ordered, query, "right")
+    order = np.lexsort((before[:split], corpus))  # the shard's suffix array
+    ordered = corpus[order] * wide + before[:split][order]
+    low, high = np.searchsorted(ordered, query * wide, "left"), np.searchsorted(ordered, (query + 1) * wide, "left")
     hit = np.flatnonzero(high > low)
     if not len(hit):
         return
-    n = (high - low)[hit]
-    q = np.repeat(hit, n)
-    at = order[np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    d, i, x, y = owner[at], owner[split + q], place[at], place[split + q]
-    o = np.lexsort((x, x - y, i, d))
-    d, i, x, y = d[o], i[o], x[o], y[o]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (x[1:] - y[1:] != x[:-1] - y[:-1]) | (x[1:] != x[:-1] + 1)
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(d))) + depth - 1
-    yield from zip(d[first].tolist(), i[first].tolist(), length.tolist(), x[first].tolist(), y[first].tolist(), strict=True)
+    # Without those with the same token before: what lies before them in the range, and what lies after.
+    same = query[hit] * wide + before[split:][hit]
+    a, z = np.searchsorted(ordered, same, "left"), np.searchsorted(ordered, same, "right")
+    starts, n = np.concatenate([low[hit], z]), np.concatenate([a - low[hit], high[hit] - z])
+    q = np.repeat(np.concatenate([hit, hit]), n)
+    x = order[np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    y = split + q
+    # How far each match goes on: whole depths first, then the smaller levels.
+    length = np.full(len(x), depth)
+    going = np.arange(len(x))
+    for size, r in [levels[-1], *levels[::-1]]:
+        going = np.arange(len(x)) if size < depth else going
+        while len(going):
+            i, j = x[going] + length[going], y[going] + length[going]
+            inside = (i < len(r)) & (j < len(r))
+            on = np.zeros(len(going), bool)
+            on[inside] = r[i[inside]] == r[j[inside]]
+            going = going[on]
+            length[going] += size
+            if size < depth:
+                break
+    yield from zip(owner[x].tolist(), owner[y].tolist(), length.tolist(), place[x].tolist(), place[y].tolist(), strict=True)
 
 
 class _Kind:
@@ -132,11 +161,9 @@ class _Kind:
 def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, shard: int = SHARD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, n_tokens, doc_token, item_token: every longest verbatim match, with places counted in tokens."""
     items = items.filter(F.col("text").isNotNull()).select("item_id", "lang", "text").distinct()
-    blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     out = None
-    for k in range(blocks):
-        block = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        one = _pass(documents, block, min_words, min_chars, shard)
+    for block in bounded_blocks(items, ["item_id", "lang", "text"], "text", block_chars):
+        one = _pass(documents, [tuple(r) for r in block.collect()], min_words, min_chars, shard)
         out = one if out is None else out.unionByName(one)
     return out
 

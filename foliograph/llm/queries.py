@@ -14,6 +14,9 @@ from foliograph.llm.runs import glyph_runs
 from foliograph.llm.sentences import sentence_units
 from foliograph.session import table
 
+#: Where the public tokenizers' vocabularies lie on the machines of this project's data.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every claim that shows a known term in other characters, and every glyph that isn't the character it shows."""
@@ -37,12 +40,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents chosen for the target shares, with their repeats."""
-    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), TOKENIZERS)[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's target and actual share."""
-    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), TOKENIZERS)[1]
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.llm.glyphstream import CHUNK, changes, codes, floats, near, streamed, whole_groups
+from foliograph.session import cut
 
 SHARE = 0.15
 _RUN = "doc_id string, page int, first_seq long, last_seq long, n_glyphs int, head boolean, tail boolean, ch string, ax double, atop double, asize double, zx double, ztop double"
@@ -62,7 +63,7 @@ def _nullable(v: np.ndarray) -> pa.Array:
 
 def glyph_runs(glyphs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, page, first_seq, last_seq, n_glyphs of every longest run of two or more."""
-    runs = streamed(glyphs, ["ch", "x0", "top", "size"], chunk).mapInArrow(_runs, _RUN)
+    runs = cut(streamed(glyphs, ["ch", "x0", "top", "size"], chunk).mapInArrow(_runs, _RUN))
     name = ["doc_id", "page", "first_seq", "last_seq", "n_glyphs"]
     inner = runs.filter(~F.col("head") & ~F.col("tail")).select(*name)
     w = Window.partitionBy("doc_id", "page").orderBy("first_seq")

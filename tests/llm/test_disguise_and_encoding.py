@@ -3,7 +3,8 @@ import unicodedata
 
 from foliograph.llm.disguise import glyph_cases, ordinary, plain, repaired, repairs, term_cases, words_of
 from foliograph.llm.encoding import ENCODINGS, damaged_spans, explained, garbled, mistaken, regained, wrongly
-from tests.test_glyphs import GLYPH, glyph
+from tests.test_glyphs import GLYPH, frame, glyph
+from tests.test_glyphs import written as line_of
 
 
 def test_ordinary_forms():
@@ -143,3 +144,27 @@ def test_any_number_of_twins_of_one_skeleton(spark):
     want = {(str(1 + 100 * (17 + k) + i), f"{c} 3") for k, c in enumerate(clean) for i in range(len(c))}
     want |= {(str(1 + 100 * 24 + i), "霧島ゴシック: 500") for i in range(len(sjis))}
     assert {(r.item, r.original) for r in out if r.source_field == "ch"} == want
+
+
+def test_a_line_over_many_chunks_is_seen_whole(spark):
+    from foliograph.llm.disguise import glyph_cases
+    from foliograph.llm.encoding import line_records
+
+    text = "xin Vinh chào " * 30 + "Вinh ﻿" + "đất " * 40
+    rows = line_of(text, x=10.0)
+    df = frame(spark, rows)
+    whole = glyph_cases(df).collect()
+    assert whole
+    for chunk, pad in ((64, 4), (16, 1)):
+        assert sorted(r.seq for r in glyph_cases(df, chunk, pad).collect()) == sorted(r.seq for r in whole)
+        found = line_records(df, chunk, pad)
+        assert {r.text for r in found.collect()} == {r.text for r in line_records(df).collect()}
+        assert sorted(s for r in found.collect() for s in set(r.seqs)) == sorted(s for r in line_records(df).collect() for s in set(r.seqs))
+
+
+def test_many_texts_of_one_key(spark):
+    from foliograph.llm.encoding import learned
+
+    df = spark.range(30_000).selectExpr("'line' AS kind", "concat(char(int(1072 + id % 32)), char(int(1072 + id / 32 % 32)), char(int(1072 + id / 1024 % 32)), char(int(1072 + id / 32768)), 'я') AS text")
+    model, twins, lettered = learned(df)
+    assert model.encodings == () and twins.count() == 0 and lettered.count() == 0

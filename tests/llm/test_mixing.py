@@ -1,6 +1,12 @@
 import random
 
-from foliograph.llm.mixing import mixture, step
+from functools import partial
+
+from foliograph.llm import mixing
+from foliograph.llm.mixing import step
+from foliograph.llm.queries import TOKENIZERS
+
+mixture = partial(mixing.mixture, folder=TOKENIZERS)
 
 
 def test_step_keeps_the_balance():
@@ -36,5 +42,12 @@ def test_shares_and_caps(spark):
 def test_same_choice_again(spark):
     docs = spark.createDataFrame([(i, "chữ " * (i % 9 + 1), "a" if i % 2 else "b") for i in range(200)], "doc_id long, text string, source string").repartition(3)
     targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], "source string, target_share double, max_repeats int")
-    a, b = ({(r.doc_id, r.repeats) for r in mixture(docs, targets)[0].collect()} for _ in range(2))
-    assert a == b
+    a, b, c = ({(r.doc_id, r.repeats) for r in mixture(d, targets)[0].collect()} for d in (docs, docs, docs.repartition(7, "text")))
+    assert a == b == c
+
+
+def test_many_sources(spark):
+    docs = spark.range(900).selectExpr("id AS doc_id", "repeat('chữ ', 1 + int(id % 9)) AS text", "concat('s', id % 300) AS source")
+    targets = spark.range(300).selectExpr("concat('s', id) AS source", "1D / 300 AS target_share", "2 AS max_repeats")
+    chosen, shares = mixture(docs, targets)
+    assert shares.count() == 300 and shares.filter("most_repeats > 2").count() == 0 and chosen.count() > 300

@@ -85,10 +85,53 @@ def test_leaks_against_brute_force(spark):
                 want.add((d, i))
     documents = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'z' AS item_id")
     table = spark.createDataFrame(items + items[:2] + [(99, "en", None)], "item_id long, lang string, text string")
-    for kw in ({}, {"shard": 30}, {"block_chars": 300}):
+    for kw in ({}, {"shard": 30}, {"block_chars": 900}):
         found = leaks(documents, table, **kw)
         assert {(r.doc_id, r.item_id) for r in found.collect()} == want
     longest = found.filter("doc_id = 2 AND item_id = 1").first()
     assert (longest.n_tokens, longest.doc_token, longest.item_token) == (60, 0, 0)
     assert without_leaks(documents, found).filter("doc_id IN (2, 3)").count() == 0
     assert leaks(documents.limit(0), table).count() == 0 and leaks(documents, table.limit(0)).count() == 0
+
+
+def test_a_text_that_repeats_itself_is_no_product(spark):
+    from foliograph.llm.leaks import shard_matches
+
+    doc, item = np.zeros(30_000, np.int64), np.zeros(20_000, np.int64)
+    found = list(shard_matches([doc], [item], 12))
+    assert max(n for _, _, n, _, _ in found) == 20_000 and len(found) <= 50_000
+    docs = spark.createDataFrame([(1, "w " * 3000), (2, "w " * 11)], "doc_id long, text string")
+    assert {r.doc_id for r in leaks(docs, spark.createDataFrame([(1, "en", "w " * 2000)], "item_id long, lang string, text string")).collect()} == {1}
+
+
+def test_longest_matches_against_brute_force():
+    from foliograph.llm.leaks import shard_matches
+
+    rng = np.random.default_rng(3)
+    for depth in (1, 3, 12):
+        docs, items = [rng.integers(0, 2, n) for n in (0, 1, 40, 70)], [rng.integers(0, 2, n) for n in (0, 5, 60)]
+        want = set()
+        for d, a in enumerate(docs):
+            for i, b in enumerate(items):
+                for x in range(len(a)):
+                    for y in range(len(b)):
+                        if x and y and a[x - 1] == b[y - 1]:
+                            continue
+                        n = 0
+                        while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                            n += 1
+                        if n >= depth:
+                            want.add((d, i, n, x, y))
+        got = list(shard_matches(docs, items, depth))
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_blocks_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from foliograph.llm.blocks import bounded_blocks
+
+    items = spark.createDataFrame([(i, "x" * (1 + i % 90)) for i in range(300)] + [(999, "y" * 5000)], "k long, t string")
+    blocks = bounded_blocks(items, ["k", "t"], "t", 4000)
+    sizes = [b.agg(F.sum(F.length("t")), F.count("*")).first() for b in blocks]
+    assert all((n or 0) <= 4000 or c == 1 for n, c in sizes) and sum(c for _, c in sizes) == 301
