@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from foliograph.session import cut
 
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 24
+
 
 def holding(df: DataFrame, keys: Sequence[str], fields: Sequence[str], version: str, tie: str | None = None) -> DataFrame:
     """The row with the latest ``version`` of each key: keys and fields."""
@@ -46,13 +48,18 @@ def chunked(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], buckets
     )
 
 
+def buckets_for(left: DataFrame, right: DataFrame) -> int:
+    """A bucket is sorted as a whole, so their number follows the larger side's size as the optimizer knows it; at least four a shuffle partition."""
+    size = max(int(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) for x in (left, right))
+    return max(4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES, MOST_BUCKETS))
+
+
 def copy_differences(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str], only_left: str, only_right: str, buckets: int | None = None, mean_rows: int = 16, window: int = 2) -> DataFrame:
     """keys and difference: ``only_left``, ``only_right`` or the name of a field that differs. The sides come reduced (``holding``).
 
-    buckets: the same on both sides; by default the session's shuffle partitions. mean_rows: of a chunk. window: rows in the rolling hash.
+    buckets: the same on both sides; by default as many as keep one at about ``BUCKET_BYTES``. mean_rows: of a chunk. window: rows in the rolling hash.
     """
-    spark = left.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or buckets_for(left, right)
     sides = [cut(chunked(x, keys, fields, buckets, mean_rows, window)) for x in (left, right)]
     prints = [x.groupBy("_bucket", "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("_row")).alias("_a"), F.bit_xor("_row").alias("_b")) for x in sides]
     same = ["_bucket", "_n", "_a", "_b"]
