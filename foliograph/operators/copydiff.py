@@ -50,7 +50,7 @@ def chunked(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], buckets
 
 def buckets_for(left: DataFrame, right: DataFrame) -> int:
     """A bucket is sorted as a whole, so their number follows the larger side's size as the optimizer knows it; at least four a shuffle partition."""
-    size = max(int(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) for x in (left, right))
+    size = max(int(str(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for x in (left, right))
     return max(4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES, MOST_BUCKETS))
 
 
