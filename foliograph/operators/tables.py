@@ -107,10 +107,10 @@ def header_row(rows: DataFrame, n_cols: int) -> DataFrame:
     return rows.filter(ok).groupBy("doc_id").agg(F.min(F.struct("page", "table_no", "row_no", filled.alias("columns"))).alias("m")).select("doc_id", "m.columns")
 
 
-def labelled_totals(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
+def labelled_totals(rows: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     """doc_id, name, label, value: of each named total the first row whose first cell starts with its prefix.
 
-    prefixes: prefix, name (a small list). The value is the next filled cell, else what follows the colon in the first.
+    prefixes: prefix -> name, of a template, so part of the plan; a first cell takes the first that fits. The value is the next filled cell, else what follows the colon in the first.
     """
     first = F.trim(F.try_element_at("cells", F.lit(1)))
     label = F.split_part(first, F.lit(":"), F.lit(1))
@@ -118,7 +118,8 @@ def labelled_totals(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
     rest = F.try_element_at(F.filter(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: F.trim(c) != ""), F.lit(1))
     after = F.when(F.contains(first, F.lit(":")), F.nullif(F.trim(F.substr(first, F.locate(":", first) + 1)), F.lit("")))
     r = r.withColumn("value", F.coalesce(rest, after))
-    hit = r.join(F.broadcast(prefixes.limit(1000)), F.startswith(r["_key"], prefixes["prefix"]))
+    name = F.coalesce(F.lit(None).cast("string"), *[F.when(F.startswith("_key", F.lit(p)), n) for p, n in prefixes.items()])
+    hit = r.withColumn("name", name).filter("name IS NOT NULL")
     return hit.groupBy("doc_id", "name").agg(F.min(F.struct("page", "table_no", "row_no", "label", "value")).alias("m")).select("doc_id", "name", "m.label", "m.value")
 
 

@@ -92,8 +92,7 @@ def table_values(rows: DataFrame, sections: DataFrame, template: templates.Templ
     for k, (name, value) in enumerate((("description", F.coalesce(F.nullif(prose, F.lit("")), F.try_element_at("cells", F.lit(2)))), ("area_sqm", F.try_element_at("cells", F.lit(3))), ("amount_vnd", F.try_element_at("cells", F.lit(4)))), 2):
         cell = [F.try_element_at(c, F.lit(k)) for c in ("boxes", "locations", "cell_lines")]
         out = out.unionByName(_values(data, _at(F.col("section_no"), 8.0, F.col("_i"), float(k)), F.concat(row, F.lit(name)), value, page=F.col("page"), bbox=cell[0], location=cell[1], lines=cell[2]))
-    prefixes = rows.sparkSession.createDataFrame(list(template.totals.items()) or [("\0", "")], "prefix string, name string")
-    totals = tables.labelled_totals(rows, prefixes).join(home, "doc_id")
+    totals = tables.labelled_totals(rows, template.totals).join(home, "doc_id")
     return out.unionByName(_values(totals, _at(F.col("section_no"), 9.0), F.concat(base, F.lit(".totals."), F.col("name")), F.col("value"), label=F.col("label")))
 
 
@@ -252,4 +251,6 @@ def process(spark: SparkSession, files: DataFrame, template: templates.Template
     layer = _numbered(layer, ["doc_id"], ["page"])
     layer_values = _values(layer, _at(9e6, F.col("_i")), F.concat(F.lit("text_layer.pages["), F.col("_i").cast("string"), F.lit("]")), F.col("text"), page=F.col("page")).withColumn("verbatim", F.lit(True)).withColumn("proof_level", F.lit(2))
     data = results.data_json(proven.unionByName(layer_values.select(*columns)))
-    return Outcome(docs, proven, reports, results.envelopes(docs, reports, data))
+    # Files of equal content are decoded once, and each has its result.
+    every = files.select(F.sha2("content", 256).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+    return Outcome(docs, proven, reports, results.envelopes(every, reports, data))

@@ -33,8 +33,8 @@ def _listed(j: str, scalars: bool) -> str:
     return f"CASE json_type({j}) WHEN 'ARRAY' THEN {j}->'$[*]' WHEN 'NULL' THEN [] WHEN 'OBJECT' THEN [{j}] ELSE {f'[{j}]' if scalars else '[]'} END"
 
 
-SQL = {
-    "p1_found": f"""
+#: The nested parts of every record as relations.
+NODES_SQL = f"""
 WITH RECURSIVE d(record_id, j) AS (
     SELECT record_id, CAST(payload AS JSON) FROM (SELECT record_id, CASE WHEN json_valid(payload) THEN payload END AS payload FROM parsed_docs) WHERE payload IS NOT NULL
     UNION ALL
@@ -57,7 +57,10 @@ t AS (SELECT record_id, path || '[' || (i - 1) || ']' AS path, parent, l[i] AS t
 r1 AS (SELECT record_id, path AS parent, {_listed("(t->'$.rows')", False)} AS l FROM t),
 r AS (SELECT record_id, parent || '.rows[' || (i - 1) || ']' AS path, parent, l[i] AS r FROM r1, generate_series(1, len(l)) AS g(i) WHERE json_type(l[i]) <> 'NULL'),
 c1 AS (SELECT record_id, path AS parent, {_listed("r", True)} AS l FROM r)
-SELECT DISTINCT * FROM (
+"""
+
+SQL = {
+    "p1_found": NODES_SQL + """SELECT DISTINCT * FROM (
     SELECT record_id, 'section' AS node_kind, 'sections[' || i || ']' AS node_path, '' AS parent_path FROM sec
     UNION ALL SELECT record_id, kind, path || '[' || (i - 1) || ']', parent FROM b2, generate_series(1, len(l)) AS g(i) WHERE json_type(l[i]) <> 'NULL'
     UNION ALL SELECT record_id, 'table', path, parent FROM t

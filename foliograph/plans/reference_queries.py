@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliograph.functions import text as tx
 from foliograph.operators import copydiff, fonts, glyphs, lines, nested, provenance, structure, tables, templates, verify
+from foliograph.plans.problem_queries import NODES_SQL
 from foliograph.session import cut, table
 from foliograph.sources import results
 
@@ -277,7 +278,10 @@ def table_data_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.data_rows(table_rows(spark, sf_dir), 4).select("doc_id", "page", "table_no", "row_no", "index", "rest")
 
 
-@query()
+_SAID = "CASE WHEN json_type(f->'$.{k}') = 'OBJECT' AND json_exists(f, '$.{k}.value') AND json_type(f->'$.{k}.value') NOT IN ('OBJECT', 'ARRAY') THEN f->>'$.{k}.value' ELSE f->>'$.{k}' END"
+
+
+@query(NODES_SQL + "SELECT record_id, path || '[' || (i - 1) || ']' AS node_path, parent AS parent_path, " + ", ".join(f"{_SAID.format(k=k)} AS {k}" for k in ("label", "value")) + " FROM (SELECT record_id, path, parent, i, l[i] AS f FROM b2, generate_series(1, len(l)) AS g(i) WHERE kind = 'field') WHERE json_type(f) <> 'NULL'")
 def section_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = nested.tables_of(nested.dewey_nodes(table(spark, sf_dir, "parsed_docs")), "field")
     return f.select("record_id", "node_path", "parent_path", "label", "value")
@@ -376,7 +380,7 @@ def _claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "claims").select("claim_id", "doc_id", "path", "value", "page", "bbox", "source_lines").distinct()
 
 
-@query("""
+_PROVEN = """
 WITH """ + GLYPHS + """, p AS (SELECT doc_id, page, trim(regexp_replace(nfc_normalize(string_agg(ch, '' ORDER BY seq)), '$WS+', ' ', 'g')) AS t FROM g WHERE ch IS NOT NULL GROUP BY 1, 2),
 h AS (SELECT doc_id, string_agg(t, ' ' ORDER BY page) AS h FROM p WHERE t <> '' GROUP BY 1),
 c AS (SELECT DISTINCT claim_id, doc_id, path, value, source_lines, trim(regexp_replace(nfc_normalize(value), '$WS+', ' ', 'g')) AS n FROM claims),
@@ -384,7 +388,10 @@ j AS (SELECT c.*, h.h, coalesce(n <> '' AND (contains(h, n) OR contains(replace(
       coalesce(n <> '' AND len(source_lines) > 0 AND len(list_filter(source_lines, lambda x: NOT contains(h, trim(regexp_replace(nfc_normalize(x), '$WS+', ' ', 'g'))))) = 0
                AND replace(trim(regexp_replace(nfc_normalize(array_to_string(source_lines, ' ')), '$WS+', ' ', 'g')), ' ', '') = replace(n, ' ', ''), false) AS three FROM c LEFT JOIN h USING (doc_id))
 SELECT claim_id, CASE WHEN two THEN 2 WHEN three THEN 3 END AS proof_level, two OR three AS verbatim FROM j
-""")
+"""
+
+
+@query(_PROVEN)
 def proven_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.verify(_claimed(spark, sf_dir), page_streams(spark, sf_dir)).select("claim_id", "proof_level", "verbatim")
 
@@ -405,7 +412,10 @@ def proven_by_all_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.verify(_claimed(spark, sf_dir), page_streams(spark, sf_dir), drawn(spark, sf_dir)).select("claim_id", "proof_level", "verbatim")
 
 
-@query()
+@query("WITH v AS (" + _PROVEN.replace("SELECT claim_id, CASE", "SELECT claim_id, doc_id, path, CASE") + """)
+SELECT doc_id, count(*) AS total_values, count(*) FILTER (WHERE verbatim) AS verbatim_values, coalesce(list(path ORDER BY path) FILTER (WHERE NOT verbatim AND path IS NOT NULL), []) AS unverified_paths,
+       CAST(count(*) FILTER (WHERE verbatim) AS DOUBLE) / count(*) AS ratio FROM v GROUP BY doc_id
+""")
 def provenance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: what share of each file's values its own text proves."""
     values = provenance.verify(_claimed(spark, sf_dir), page_streams(spark, sf_dir))

@@ -70,9 +70,8 @@ def with_format(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row for each content, the first path's."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return docs.groupBy("doc_id").agg(F.min_by(F.struct(*rest), "path").alias("_d")).select("doc_id", "_d.*")
+    """One row for each content, to decode it once; every path keeps its result (``plans.pipeline``)."""
+    return docs.dropDuplicates(["doc_id"])
 
 
 # ---- word-processor files -----------------------------------------------------------------------------------------------
@@ -102,32 +101,34 @@ def _text(e: ElementTree.Element) -> str:
     return "".join(out)
 
 
+_FIELD_PARTS = {f"{_W}fldChar", f"{_W}instrText", f"{_W}t"}
+
+
+def _fields(e: ElementTree.Element) -> Iterator[tuple[str, str]]:
+    """(code, stored result) of each dynamic field that begins and ends below an element; one that begins within another takes its place."""
+    part: dict[str, str] | None = None
+    for x in (x for x in e.iter() if x.tag in _FIELD_PARTS):
+        match x.tag.removeprefix(_W), x.get(f"{_W}fldCharType"):
+            case "fldChar", "begin":
+                part = {"instrText": "", "t": ""}
+            case "fldChar", "end" if part is not None:
+                yield part["instrText"], part["t"]
+                part = None
+            case ("instrText" | "t") as name, _ if part is not None:
+                part[name] += x.text or ""
+
+
 def _unresolved(e: ElementTree.Element, location: str) -> list[str]:
-    """Dynamic fields that begin and end with no text kept between."""
-    out, code, shown, open_ = [], "", "", False
-    for x in e.iter():
-        tag = x.tag.removeprefix(_W)
-        if tag == "fldChar":
-            kind = x.get(f"{_W}fldCharType")
-            if kind == "begin":
-                code, shown, open_ = "", "", True
-            elif kind == "end" and open_:
-                if not shown.strip():
-                    out.append(f"{location}: {code.strip()}")
-                open_ = False
-        elif open_ and tag == "instrText":
-            code += x.text or ""
-        elif open_ and tag == "t":
-            shown += x.text or ""
-    return out
+    """Dynamic fields without a stored result; blanks are a result."""
+    return [f"{location}: {code.strip() or '?'}" for code, result in _fields(e) if not result]
 
 
 def _level(p: ElementTree.Element) -> int | None:
-    numbering = p.find(f"{_W}pPr/{_W}numPr")
-    if numbering is None:
+    """The list level; null where none is given, 0 where it is no number."""
+    level = p.find(f"{_W}pPr/{_W}numPr/{_W}ilvl")
+    if level is None:
         return None
-    level = numbering.find(f"{_W}ilvl")
-    value = level.get(f"{_W}val", "") if level is not None else ""
+    value = level.get(f"{_W}val", "")
     return int(value) if value.isdigit() else 0
 
 
@@ -168,7 +169,7 @@ def _docx(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 rows += [r | {"doc_id": d} for r in docx_rows(c)]
             except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, OSError) as e:
-                rows.append({"doc_id": d, "ord": 0, "kind": "error", "text": str(e)[:200], "location": ""})
+                rows.append({"doc_id": d, "ord": 0, "kind": "error", "text": str(e), "location": ""})
         yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True)], names)
 
 
@@ -200,7 +201,7 @@ def _pdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 rows = list(PdfFile(c).rows())
             except Exception as e:  # noqa: BLE001 - whatever is wrong in a file is that file's row
-                rows = [{"relation": "error", "value": f"{type(e).__name__}: {e}"[:200]}]
+                rows = [{"relation": "error", "value": f"{type(e).__name__}: {e}"}]
             yield pa.RecordBatch.from_arrays([pa.array([d] * len(rows), t) if n == "doc_id" else pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True)], names)
 
 

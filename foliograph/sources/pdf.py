@@ -270,7 +270,7 @@ class Drawing:
         self.rulings: list[tuple[float, float, float, float]] = []
         self.image_area = 0.0
 
-    def run(self, content: bytes, fonts: dict[str, Font], resources: dict, ctm: tuple = (1, 0, 0, 1, 0, 0), depth: int = 0) -> None:
+    def run(self, content: bytes, fonts: dict[str, Font], resources: dict, ctm: tuple = (1, 0, 0, 1, 0, 0), within: tuple = ()) -> None:
         saved: list = []
         font, size, lead, rise, scale, gap, word = None, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0
         tm = line = (1, 0, 0, 1, 0, 0)
@@ -350,8 +350,11 @@ class Drawing:
                     path = []
                 case b"n":
                     path = []
-                case b"Do" if args and depth < 8:
+                case b"Do" if args:
                     ref = (self.pdf.get(resources.get("XObject")) or {}).get(str(args[0]))
+                    if isinstance(ref, Ref) and ref in within:  # a form that draws itself
+                        args = []
+                        continue
                     d = self.pdf.get(ref) or {}
                     if str(d.get("Subtype")) == "Image":
                         self.image_area += abs(ctm[0] * ctm[3] - ctm[1] * ctm[2])
@@ -359,7 +362,7 @@ class Drawing:
                         own = self.pdf.get(d.get("Resources")) or resources
                         inner = fonts | {k: Font(self.pdf, self.pdf.get(v)) for k, v in (self.pdf.get(own.get("Font")) or {}).items()}
                         m = tuple(float(self.pdf.get(x)) for x in self.pdf.get(d.get("Matrix")) or (1, 0, 0, 1, 0, 0))
-                        self.run(self.pdf.stream(ref), inner, own, _times(m, ctm), depth + 1)
+                        self.run(self.pdf.stream(ref), inner, own, _times(m, ctm), (*within, ref))
                 case b"BI":
                     r.at = max(r.at, content.find(b"EI", r.at) + 2)
                     self.image_area += abs(ctm[0] * ctm[3] - ctm[1] * ctm[2])

@@ -156,3 +156,11 @@ def test_a_value_over_many_pages(spark):
     text = "\f".join("abcdefghijklmnopqrstuvwxyz")
     rows = [("ten", "abcdefghij", 1, None, None), ("all", "a b c d e f g h i j k l m n o p q r s t u v w x y z", 1, None, None), ("no", "a b c d e f g h i j k l m n o p q r s t u v w x y y", 1, None, None), ("one", "q", 1, None, None), ("last", "y z", 1, None, None)]
     assert verified(spark, rows, text) == {"ten": 2, "all": 2, "no": None, "one": 2, "last": 2}
+
+
+def test_more_than_a_thousand_prefixes(spark):
+    from foliograph.operators.tables import labelled_totals
+
+    rows = spark.createDataFrame([("d", 1, 0, 0, 2, ["Tong 1499 (dong)", "7"]), ("d", 1, 0, 1, 2, ["Khac: 5", ""])], "doc_id string, page int, table_no int, row_no int, n_cols int, cells array<string>")
+    assert [tuple(r) for r in labelled_totals(rows, {f"tong {i} ": f"t{i}" for i in range(1500)}).collect()] == [("d", "t1499", "Tong 1499 (dong)", "7")]
+    assert labelled_totals(rows, {}).count() == 0
