@@ -63,4 +63,13 @@ s AS (SELECT *, CASE WHEN pch = ch AND abs(x0 - px) <= 0.15 * size + 1e-9 AND ab
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY seq) AS run FROM s)
 SELECT doc_id, page, min(seq) AS first_seq, max(seq) AS last_seq, CAST(count(*) AS INTEGER) AS n_glyphs FROM r GROUP BY doc_id, page, run HAVING count(*) > 1
 """,
+    "p6_found": r"""
+WITH w AS (SELECT item_id, lang, regexp_extract_all(FOLDED, '[\p{L}\p{N}]+') AS t FROM eval_items WHERE text IS NOT NULL),
+i AS (SELECT item_id, CASE WHEN lang IN ('zh', 'ja') THEN 24 ELSE 12 END AS n, CASE WHEN lang IN ('zh', 'ja') THEN string_split(array_to_string(t, ''), '') ELSE t END AS t FROM w),
+gi AS (SELECT DISTINCT item_id, n, array_to_string(t[k : k + n - 1], ' ') AS g FROM i, generate_series(1, len(t)) AS s(k) WHERE k + n - 1 <= len(t)),
+d AS (SELECT doc_id, regexp_extract_all(FOLDED, '[\p{L}\p{N}]+') AS t FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, 12 AS n, t FROM d UNION ALL SELECT doc_id, 24, string_split(array_to_string(t, ''), '') FROM d),
+gd AS (SELECT doc_id, n, array_to_string(t[k : k + n - 1], ' ') AS g FROM u, generate_series(1, len(t)) AS s(k) WHERE k + n - 1 <= len(t))
+SELECT DISTINCT doc_id, item_id FROM gi JOIN gd USING (n, g)
+""".replace("FOLDED", "nfc_normalize(replace(lower(nfc_normalize(text)), 'ß', 'ss'))"),
 }
