@@ -2,15 +2,16 @@
 
 Records are glyph lines and font names. A wrong decoding leaves ASCII characters alone, so a garbled record and its clean
 twin share the text that is left when all other characters are stripped. Records meet on that key (digits as one mark, since
-figures vary); in each group the most frequent texts are the clean side. Aligned between the shared ASCII characters, every
-stretch of a garbled record faces its clean original. From the aligned stretches come two kinds of transformation, each kept
+figures vary); in each group every text that is sound and at least as frequent is a clean side. Aligned between the shared ASCII
+characters, every stretch of a garbled record faces its clean original. From the aligned stretches come two kinds of transformation, each kept
 only with enough support: a pair or chain of encodings that turns the clean stretch into the garbled one, and a map of single
 characters for old one-byte encodings of fonts. These are then applied to all remaining records, with or without a twin.
 
 One encoding taken for another is told by the twin itself: damaged texts join on the whole form that a clean one takes on.
 
-Groups are aggregates of distinct texts with counts; in a group its few most frequent texts are the clean sides that vote, so
-no pairs within a group arise. What is collected is bounded: encodings of a fixed list, and one entry a character.
+Groups are aggregates of distinct texts with counts. All clean sides of a group vote, however many, but no texts are paired: stretches
+meet by an equi-join on their original, letters by one on their place. What is collected is bounded: encodings of a fixed list, and
+one entry a character.
 
 Defined results: null and empty texts are no cases; a replacement character is always a lost one; repeated rows are one case;
 an empty table gives no cases; other columns are not read.
@@ -19,13 +20,13 @@ an empty table gives no cases; other columns are not read.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.llm.glyphstream import CHUNK, PAD, Lines, by_lines, whole_groups, with_open
@@ -36,8 +37,10 @@ ENCODINGS = ("latin_1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp125
 #: Encodings for text in one of these taken for another.
 WRITTEN = ("cp1251", "koi8_r", "cp866", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp1250", "cp1253", "cp1258", "gb18030", "big5", "shift_jis", "euc_jp", "euc_kr", "cp874")
 READ = ("cp1252", "latin_1", "cp1251", "mac_roman", "cp437")
-#: Clean sides of a group that vote on what is learned (what is learned applies to every record, with or without a twin); aligned characters that a transformation must explain; share of its votes that an entry of the map needs.
-TWINS, SUPPORT, MAP_SHARE = 4, 4, 0.6
+#: Aligned characters that a transformation must explain; share of its votes that an entry of the map needs.
+SUPPORT, MAP_SHARE = 4, 0.6
+#: What a letter's vote is divided from, so that shares of it stay whole numbers.
+VOTE = 10**12
 _OTHER = regex.compile(r"[^\x00-\x7f]+")
 #: Symbols that stand beside letters in sound text: quotation marks, units, and what touches no two letters.
 _ORDINARY_SYMBOL = regex.compile(r"[«»¿¡]|(?<=\d|\b[mM]|\bkm|\bcm)[²³]|(?<=\b[Nn])[°º]|[°](?=C\b|F\b)|[µ](?=[mgls]\b)|(?<=\d)[°ºª¹²³%]")
@@ -402,26 +405,87 @@ def exact_twins(parts: DataFrame, model: Model) -> DataFrame:
     return met.mapInArrow(sound_sides, "name string, n long, garbled string, clean string")
 
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """name, n, garbled: n aligned characters speak for one of the names (joined by "|"); the text whose letters speak."""
+@lru_cache(1 << 16)
+def originals(stretch: str) -> dict[str, str]:
+    """original -> names (joined by "|"), for all that ``explained`` has a name for."""
+    if len(stretch) < 2:
+        return {}
+    once = {e: y for e in ENCODINGS if (y := regained(stretch, e)) is not None}
+    twice = [regained(z, e) for f, z in once.items() for e in (ENCODINGS if f in ("cp1252", "latin_1") else (f,))]
+    return {y: "|".join(names) for y in {*once.values(), *twice} - {None} if (names := explained(stretch, y))}
+
+
+def _originals_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, at, original, name, count: of every stretch of the parts (key, part, count) that is wrongly decoded UTF-8 as a whole."""
+    types = [("key", pa.string()), ("at", pa.int32()), ("original", pa.string()), ("name", pa.string()), ("count", pa.int64())]
     for b in batches:
-        tally: Counter = Counter()
-        for g, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if damaged_spans(c) or c.isascii():
-                continue
-            pairs = aligned(g, c)
-            sets = ["|".join(explained(x, y)) for x, y in pairs]
-            if any(sets):
-                for (_, y), names in zip(pairs, sets, strict=True):
-                    if names:
-                        tally[names, None] += len(y)
-            elif pairs and all(len(x) == len(y) for x, y in pairs) and all(p <= "\xff" for x, _ in pairs for p in x) and legacy_line(g):
-                tally.update((f"={p}{q}", g) for x, y in aligned(g, c, equal=True) for p, q in zip(x, y, strict=True))
-        names, garbled = zip(*tally, strict=True) if tally else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(tally.values()), pa.int64()), pa.array(garbled, pa.string())], ["name", "n", "garbled"])
-
-
-def learned(records: DataFrame, twins: int = TWINS, support: int = SUPPORT) -> tuple[Model, DataFrame, DataFrame]:
+        rows = [(k, i, y, names, n) for k, p, n in zip(*[x.to_pylist() for x in b.columns], strict=True) for i, x in enumerate(regex.split(r"[\x00-\x7f]", p)) for y, names in originals(x).items()]
+        columns = zip(*rows, strict=True) if rows else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, types, strict=True)], [n for n, _ in types])
+
+
+def _where(parts: DataFrame, test: Callable[[str], bool]) -> DataFrame:
+    """The rows whose part passes."""
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([test(p) for p in b.column("part").to_pylist()], pa.bool_()))
+
+    return parts.mapInArrow(passed, parts.schema)
+
+
+def _utf8_votes(keyed: DataFrame) -> DataFrame:
+    """name, n: n aligned characters speak for one of the names (joined by "|"), over all pairs of a part and a clean side of its key.
+
+    A stretch tells its possible originals by itself, so it meets the clean sides that have one of them at its place: an equi-join on both.
+    """
+    place = ["key", "at", "original"]
+    told = cut(keyed.filter(F.col("part").rlike(r"[^\x00-\x7f]{2}")).select("key", "part", "count").mapInArrow(_originals_of, "key string, at int, original string, name string, count long").groupBy(*place, "name", "count").agg(F.count(F.lit(1)).alias("m")))
+    sides = keyed.select("key", "part", F.col("count").alias("c"), F.posexplode(F.split("part", r"[\x00-\x7f]")).alias("at", "original"))
+    sides = _where(sides.join(told.select(place).distinct(), place, "left_semi"), lambda c: not damaged_spans(c))
+    sides = sides.groupBy(*place, "c").agg(F.count(F.lit(1)).alias("k"))
+    return told.join(sides, place).filter("count <= c").groupBy("name").agg(F.sum(F.expr("m * k * length(original)")).alias("n"))
+
+
+def _letter_votes(keyed: DataFrame, old: DataFrame) -> DataFrame:
+    """p, q, n: votes for q as the original of p. Each character of a part of ``old`` has ``VOTE`` votes, in equal shares for what its clean sides have at its place.
+
+    A clean side of a part has the same key, is as frequent, is sound, and has as many characters in every stretch that both have; it differs in one of these.
+    Which stretches both have follows from the pairs of masks of a key; given those, outlines are equal and characters meet by place. A place has few
+    different characters and counts, however many texts share it.
+    """
+    mask = F.array_join(F.transform("places", lambda s: F.when(s == "", "0").otherwise("1")), "")
+    placed = lambda df, name: df.select("key", "part", "count", F.split("part", r"[\x00-\x7f]").alias("places")).withColumn(name, mask)
+    olds, others = placed(old, "mine"), placed(keyed.join(old.select("key").distinct(), "key", "left_semi"), "theirs")
+    masks = cut(olds.select("key", "mine").distinct().join(others.select("key", "theirs").distinct(), "key"))
+    pair = ["key", "mine", "theirs", "outline"]
+
+    def outlined(df: DataFrame, own: str, other: str) -> DataFrame:
+        common = F.expr(f"array_join(transform(places, (s, i) -> if(substring({other}, i + 1, 1) = '1', s, '')), ' ')")
+        df = df.join(masks, ["key", own]).withColumn("common", common).filter(F.col("common").rlike("[^ ]"))
+        return df.select(*pair[:3], F.regexp_replace("common", "[^ ]", "x").alias("outline"), "common", "part", "count")
+
+    olds = cut(outlined(olds, "mine", "theirs"))
+    sides = outlined(others, "theirs", "mine").join(olds.select(pair).distinct(), pair, "left_semi")
+    sides = _where(sides, lambda c: not (damaged_spans(c) or legacy_line(c)))
+    sides = cut(sides.groupBy(*pair, "common", F.col("count").alias("c")).agg(F.count(F.lit(1)).alias("k")))
+    # How many clean sides a part has: those of its outline, without those that have the very same common stretches.
+    met = olds.select(*pair, "count").distinct().join(sides.groupBy(*pair, "c").agg(F.sum("k").alias("k")), pair).filter("count <= c").groupBy(*pair, "count").agg(F.sum("k").alias("all"))
+    same = olds.join(sides, [*pair, "common"]).filter("count <= c").groupBy(*pair, "part").agg(F.sum("k").alias("same"))
+    olds = olds.join(met, [*pair, "count"]).join(same, [*pair, "part"], "left").fillna(0, ["same"])
+    shares = olds.groupBy("key", "part").agg(F.sum(F.expr("`all` - same")).alias("n")).filter("n > 0").select("key", "part", F.expr(f"cast({VOTE} div n as decimal(38,0))").alias("share"))
+
+    def characters(df: DataFrame, name: str) -> DataFrame:
+        return df.select("*", F.posexplode(F.split("common", "")).alias("at", name)).filter(~F.col(name).isin("", " "))
+
+    mine = cut(characters(olds.join(shares, ["key", "part"]), "p").groupBy(*pair, "count", "at", "p").agg(F.sum("share").alias("share"), F.sum(F.expr("share * same")).cast("decimal(38,0)").alias("same")))
+    theirs = characters(sides, "q").groupBy(*pair, "c", "at", "q").agg(F.sum("k").alias("k"))
+    votes = mine.join(theirs, [*pair, "at"]).filter("count <= c").select("p", "q", F.expr("cast(share * k as decimal(38,0))").alias("n"))
+    less = mine.filter("same > 0").select("p", F.col("p").alias("q"), F.expr("cast(-same as decimal(38,0))").alias("n"))
+    return votes.unionByName(less).groupBy("p", "q").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def learned(records: DataFrame, support: int = SUPPORT) -> tuple[Model, DataFrame, DataFrame]:
     """The transformations that the records (kind, text) show, and twins (part, original): those that differ by one encoding taken
     for another, and those that differ by the letters of an old font encoding.
 
@@ -431,33 +495,24 @@ def learned(records: DataFrame, twins: int = TWINS, support: int = SUPPORT) -> t
     parts = cut(parts)
     # Of a short text without ASCII letters only its exact form tells.
     long = parts.filter(F.col("part").rlike("[A-Za-z0]|[^\x00-\x7f]{4}"))
-    keyed = long.withColumn("key", F.concat_ws(":", "kind", F.regexp_replace("part", r"[^\x00-\x7f]", "")))
-    # The most frequent, of equals the shortest, are the clean side. Ranked with a row limit, first within salts of a key, so that a hot
-    # key is never gathered.
-    rank = [F.desc("count"), F.length("part"), F.col("part")]
-    some = keyed.filter(~F.col("part").contains("�")).withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(64)))
-    for by in (["key", "salt"], ["key"]):
-        some = some.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*rank))).filter(F.col("_r") <= twins)
-    clean = some.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_r", (-F.col("count")).alias("c"), "part"))).alias("best"))
-    pairs = keyed.join(clean, "key").select("part", "count", F.explode("best").alias("b")).filter("part <> b.part AND count <= -b.c AND part NOT LIKE '%�%'").select(F.col("part").alias("g"), F.col("b.part").alias("c"))
-    votes = cut(pairs.mapInArrow(_votes, "name string, n long, garbled string"))
-    # One row for each set of encodings, letter of a map, or set of pairs: bounded by the lists above and the characters of one byte.
+    keyed = long.filter("part NOT LIKE '%�%'").withColumn("key", F.concat_ws(":", "kind", F.regexp_replace("part", r"[^\x00-\x7f]", "")))
+    # One row for each set of encodings, or set of pairs: bounded by the lists above.
     summed = lambda df: {r.name: r.n for r in df.groupBy("name").agg(F.sum("n").alias("n")).collect()}
-    encodings = _cover(summed(votes.filter("name LIKE 'utf8>%'")), support)
-    exact = cut(exact_twins(parts, Model(tuple(x.removeprefix("utf8>") for x in encodings), {})))
+    encodings = _cover(summed(_utf8_votes(keyed)), support)
+    told = Model(tuple(x.removeprefix("utf8>") for x in encodings), {})
+    exact = cut(exact_twins(parts, told))
     legacy = _cover(summed(exact), support)
     # What is a clean part in wrong encodings as a whole says nothing of single letters.
-    tally = summed(votes.filter("name LIKE '=%'").join(exact.select("garbled").distinct(), "garbled", "left_anti"))
-    maps: dict[str, Counter] = defaultdict(Counter)
-    for k, n in tally.items():
-        if k[0] == "=" and len(k) == 3:
-            maps[k[1]][k[2]] += n
-    letters = {g: c for g, n in maps.items() for c, k in n.most_common(1) if k >= MAP_SHARE * sum(n.values())}
+    old = keyed.filter(~F.col("part").rlike(r"[^\x00-\xff]") & F.col("part").rlike(r"[\xa2-\xbe\xd7\xf7]"))
+    old = cut(_where(old.join(exact.select(F.col("garbled").alias("part")).distinct(), "part", "left_anti"), legacy_line))
+    # One row a character of one byte.
+    best = _letter_votes(keyed, old).groupBy("p").agg(F.max(F.struct("n", "q")).alias("best"), F.sum("n").alias("n")).collect()
+    letters = {r.p: r.best.q for r in best if int(r.best.n) >= MAP_SHARE * int(r.n)}
     lettered = _lettered(long, letters)
     known = exact.filter(F.arrays_overlap(F.split("name", r"\|"), F.array(*[F.lit(x) for x in legacy or ("",)]))).select(F.col("garbled").alias("part"), F.col("clean").alias("original"), F.array_intersect(F.array(*[F.lit(x) for x in legacy or ("",)]), F.split("name", r"\|"))[0].alias("how")).distinct()
-    sides = clean.select(F.explode("best").alias("b")).filter("b.c < -1").select("b.part")
-    repertoire = frozenset(s for s, n in zip(SCRIPTS, sides.agg(*[F.sum(F.regexp_count("part", F.lit(rf"\p{{Is{s}}}"))) for s in SCRIPTS]).first(), strict=True) if (n or 0) >= support)
-    return Model(tuple(x.removeprefix("utf8>") for x in encodings), letters, repertoire), known, lettered
+    sound = _where(keyed.filter("count > 1").select("part"), lambda p: not damaged_spans(p, told))
+    repertoire = frozenset(s for s, n in zip(SCRIPTS, sound.agg(*[F.sum(F.regexp_count("part", F.lit(rf"\p{{Is{s}}}"))) for s in SCRIPTS]).first(), strict=True) if (n or 0) >= support)
+    return Model(told.encodings, letters, repertoire), known, lettered
 
 
 def _lettered(parts: DataFrame, letters: dict[str, str]) -> DataFrame:

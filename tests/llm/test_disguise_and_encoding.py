@@ -168,3 +168,42 @@ def test_many_texts_of_one_key(spark):
     df = spark.range(30_000).selectExpr("'line' AS kind", "concat(char(int(1072 + id % 32)), char(int(1072 + id / 32 % 32)), char(int(1072 + id / 1024 % 32)), char(int(1072 + id / 32768)), 'я') AS text")
     model, twins, lettered = learned(df)
     assert model.encodings == () and twins.count() == 0 and lettered.count() == 0
+
+
+def test_every_clean_side_of_a_skeleton_votes(spark):
+    """However many more frequent texts share its skeleton, a garbled text's twin tells of its encoding, its letters and its script."""
+    from foliograph.llm.encoding import learned
+
+    frequent = ["Газета", "Лазурский", "Обыкновенная", "Журнальная", "Петербург"]
+    letters = ["ấxấ", "ấxấấ", "ấấxấấ", "ấấấxấ", "ấấấxấấ"]
+    texts = [t for t in frequent + letters for _ in range(9)] + ["Футура", "ậđxế", "ตัวอักษร"] * 2 + [wrongly("Футура", "koi8_r"), "Ë®xÕ"]
+    model, _, _ = learned(spark.createDataFrame([("line", t) for t in texts], "kind string, text string"))
+    assert model.encodings == ("koi8_r",) and model.letters == {"Ë": "ậ", "®": "đ", "Õ": "ế"} and "Thai" in model.repertoire
+
+
+def test_votes_are_those_of_all_pairs(spark):
+    """The votes by equi-joins are those of every text with every clean side of its skeleton."""
+    from collections import Counter
+
+    from foliograph.llm.encoding import VOTE, _letter_votes, _utf8_votes, aligned, legacy_line
+
+    rng = random.Random(3)
+    pool = ["a", " ", "ế", "đ", "é", "®", "Õ", "𝕏", wrongly("ế", "cp1252"), wrongly("đ", "koi8_r"), wrongly(wrongly("đ", "cp1252"), "cp1252")]
+    texts = {"".join(rng.choice(pool[: 8 if k % 2 else 11]) for _ in range(rng.randint(1, 6))): rng.randint(1, 4) for k in range(900)}
+    texts = {t: n for t, n in texts.items() if not t.isascii()}
+    key = {t: "".join(c for c in t if c < "\x80") for t in texts}
+    utf8, letter = Counter(), Counter()
+    for g in texts:
+        sides = [c for c in texts if key[c] == key[g] and c != g and texts[c] >= texts[g] and not damaged_spans(c)]
+        for c in sides:
+            for x, y in aligned(g, c):
+                if names := explained(x, y):
+                    utf8["|".join(names)] += len(y)
+        if legacy_line(g):
+            twins = [c for c in sides if not legacy_line(c) and (p := aligned(g, c)) and all(len(x) == len(y) for x, y in p)]
+            for c in twins:
+                letter.update({k: VOTE // len(twins) * n for k, n in Counter(pq for x, y in aligned(g, c, equal=True) for pq in zip(x, y, strict=True)).items()})
+    keyed = spark.createDataFrame([(t, n, key[t]) for t, n in texts.items()], "part string, count long, key string")
+    assert len(utf8) >= 3 and {r.name: r.n for r in _utf8_votes(keyed).collect()} == utf8
+    old = keyed.filter(keyed.part.isin([t for t in texts if legacy_line(t)]))
+    assert len(letter) >= 9 and {(r.p, r.q): int(r.n) for r in _letter_votes(keyed, old).collect()} == letter
